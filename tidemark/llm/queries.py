@@ -3,8 +3,9 @@
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
-from . import minhash, quality_rules, token_counts
+from . import decontaminate, line_dedup, minhash, quality_rules, token_counts
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -16,6 +17,22 @@ def op1_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rows.select("doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "kept")
 
 
+def op2_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows = line_dedup.line_dedup(table(spark, sf_dir, "documents").select("doc_id", "text", "source"))
+    return rows.select("doc_id", F.col("_ld_lines").alias("n_lines"), F.col("_ld_removed").alias("n_removed"), "text")
+
+
+OP2_SQL = line_dedup.LINE_DEDUP_SQL.format(docs="documents") + """
+select r.doc_id, coalesce(n.n_lines, 0)::bigint as n_lines, (case when n.n_bad > 0 and 2 * n.words_left >= n.words then n.n_bad else 0 end)::bigint as n_removed,
+  case when n.n_bad > 0 and 2 * n.words_left >= n.words then n.clean else r.text end as text
+from ld_rows r left join ld_new n using (ld_row)
+"""
+
+
+def op4_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return decontaminate.find_leaks(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
+
+
 def op3_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return token_counts.token_counts(table(spark, sf_dir, "documents"))
 
@@ -24,5 +41,5 @@ def op6_minhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     return minhash.near_duplicates(table(spark, sf_dir, "documents"))
 
 
-QUERIES = {f.__name__: f for f in (op1_quality_rules, op3_token_counts, op6_minhash)}
-SQL: dict[str, str] = {}
+QUERIES = {f.__name__: f for f in (op1_quality_rules, op2_line_dedup, op4_decontaminate, op3_token_counts, op6_minhash)}
+SQL: dict[str, str] = {"op2_line_dedup": OP2_SQL}
