@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import decontaminate, line_dedup, minhash, quality_rules, token_counts, warc
+from . import decontaminate, line_dedup, minhash, mixing, quality_rules, token_counts, warc
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -45,5 +45,10 @@ def op7_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
     return warc.round_trip(table(spark, sf_dir, "pages"))
 
 
-QUERIES = {f.__name__: f for f in (op1_quality_rules, op2_line_dedup, op4_decontaminate, op3_token_counts, op6_minhash, op7_warc)}
+def op8_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows = mixing.mix_sources(table(spark, sf_dir, "documents"))
+    return rows.select("doc_id", "size", "source_size", "target", "taken")
+
+
+QUERIES = {f.__name__: f for f in (op1_quality_rules, op2_line_dedup, op4_decontaminate, op3_token_counts, op6_minhash, op7_warc, op8_mixing)}
 SQL: dict[str, str] = {"op2_line_dedup": OP2_SQL, "op7_warc": warc.ROUND_TRIP_SQL}
