@@ -78,17 +78,31 @@ def flight(prob: np.ndarray, size: np.ndarray, draws: np.random.Generator) -> np
     return np.array(p)
 
 
-def land(prob: np.ndarray, size: np.ndarray) -> np.ndarray:
-    """0 or 1 for the last undecided (two at most): the choice whose words come nearest the expected words."""
+def land(prob: np.ndarray, size: np.ndarray, before: np.ndarray) -> np.ndarray:
+    """All 0 or 1: the last undecided (two at most) fall where the words come nearest what ``before`` expects.
+
+    What words they then leave over or short are made good by at most one exchange: a document that was drawn for
+    one that was not, of those that were open before the flight.
+    """
     at = np.flatnonzero((prob > 0) & (prob < 1))
+    picks = [np.array([bits >> k & 1 for k in range(len(at))], float) for bits in range(1 << len(at))]
+    best = min(picks, key=lambda x: (abs(((x - prob[at]) * size[at]).sum()), abs((x - prob[at]).sum())))
     out = prob.copy()
-    best = None
-    for bits in range(1 << len(at)):
-        pick = np.array([bits >> k & 1 for k in range(len(at))], float)
-        off = (abs(((pick - prob[at]) * size[at]).sum()), abs((pick - prob[at]).sum()), bits)
-        if best is None or off < best[0]:
-            best = (off, pick)
-    out[at] = best[1]
+    out[at] = best
+    off = float(((best - prob[at]) * size[at]).sum())
+    open_ = (before > _TINY) & (before < 1 - _TINY)
+    drawn, spare = np.flatnonzero(open_ & (out == 1)), np.flatnonzero(open_ & (out == 0))
+    if not off or not len(drawn) or not len(spare):
+        return out
+    spare = spare[np.argsort(size[spare], kind="stable")]
+    wanted = size[drawn] - off  # the size that would settle the account in place of each drawn document
+    right = np.searchsorted(size[spare], wanted).clip(0, len(spare) - 1)
+    left = (right - 1).clip(0)
+    near = np.where(abs(size[spare[left]] - wanted) <= abs(size[spare[right]] - wanted), left, right)
+    gap = abs(size[spare[near]] - wanted)
+    i = int(np.argmin(gap))
+    if gap[i] < abs(off):
+        out[drawn[i]], out[spare[near[i]]] = 0.0, 1.0
     return out
 
 
@@ -115,12 +129,12 @@ def mix_sources(
 
     def flier(level: int):
         def fly(key, pdf):
-            # large documents fly first: those left for the landing are then small
-            pdf = pdf.sort_values(["size", "id"], ascending=[False, True], kind="stable", ignore_index=True, na_position="last")
+            pdf = pdf.sort_values(["id", "size"], kind="stable", ignore_index=True, na_position="last")
             seed = zlib.crc32(repr((str(key[0]), int(key[1]), level)).encode())
-            prob = flight(pdf["prob"].to_numpy(), pdf["size"].to_numpy(), np.random.default_rng(seed))
+            before, size = pdf["prob"].to_numpy(), pdf["size"].to_numpy()
+            prob = flight(before, size, np.random.default_rng(seed))
             if int(pdf["blocks"].iloc[0]) == 1:
-                prob = land(prob, pdf["size"].to_numpy())
+                prob = land(prob, size, before)
             return pdf.drop(columns=["block", "blocks"]).assign(prob=prob)
 
         return fly
