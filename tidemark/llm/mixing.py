@@ -78,11 +78,11 @@ def flight(prob: np.ndarray, size: np.ndarray, draws: np.random.Generator) -> np
     return np.array(p)
 
 
-def land(prob: np.ndarray, size: np.ndarray, before: np.ndarray) -> np.ndarray:
+def land(prob: np.ndarray, size: np.ndarray, before: np.ndarray, exchanges: int = 4) -> np.ndarray:
     """All 0 or 1: the last undecided (two at most) fall where the words come nearest what ``before`` expects.
 
-    What words they then leave over or short are made good by at most one exchange: a document that was drawn for
-    one that was not, of those that were open before the flight.
+    What words they then leave over or short are made good by a few exchanges at most: a document that was drawn
+    for one that was not, of those that were open before the flight.
     """
     at = np.flatnonzero((prob > 0) & (prob < 1))
     picks = [np.array([bits >> k & 1 for k in range(len(at))], float) for bits in range(1 << len(at))]
@@ -91,17 +91,20 @@ def land(prob: np.ndarray, size: np.ndarray, before: np.ndarray) -> np.ndarray:
     out[at] = best
     off = float(((best - prob[at]) * size[at]).sum())
     open_ = (before > _TINY) & (before < 1 - _TINY)
-    drawn, spare = np.flatnonzero(open_ & (out == 1)), np.flatnonzero(open_ & (out == 0))
-    if not off or not len(drawn) or not len(spare):
-        return out
-    spare = spare[np.argsort(size[spare], kind="stable")]
-    wanted = size[drawn] - off  # the size that would settle the account in place of each drawn document
-    right = np.searchsorted(size[spare], wanted).clip(0, len(spare) - 1)
-    left = (right - 1).clip(0)
-    near = np.where(abs(size[spare[left]] - wanted) <= abs(size[spare[right]] - wanted), left, right)
-    gap = abs(size[spare[near]] - wanted)
-    i = int(np.argmin(gap))
-    if gap[i] < abs(off):
+    for _ in range(exchanges):
+        drawn, spare = np.flatnonzero(open_ & (out == 1)), np.flatnonzero(open_ & (out == 0))
+        if not off or not len(drawn) or not len(spare):
+            break
+        spare = spare[np.argsort(size[spare], kind="stable")]
+        wanted = size[drawn] - off  # the size that would settle the account in place of each drawn document
+        right = np.searchsorted(size[spare], wanted).clip(0, len(spare) - 1)
+        left = (right - 1).clip(0)
+        near = np.where(abs(size[spare[left]] - wanted) <= abs(size[spare[right]] - wanted), left, right)
+        gap = abs(size[spare[near]] - wanted)
+        i = int(np.argmin(gap))
+        if gap[i] >= abs(off):
+            break
+        off += float(size[spare[near[i]]] - size[drawn[i]])
         out[drawn[i]], out[spare[near[i]]] = 0.0, 1.0
     return out
 
