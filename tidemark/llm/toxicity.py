@@ -97,8 +97,8 @@ class Decoder:
             return [("", 0.1), (" ", 2.5)]
         out = [(c, 0.1 if c.isalpha() else 6.0)] if c.isalpha() else []
         out += [(x, 1.0) for x in LOOKALIKES.get(c, "")] or ([("", 4.0)] if not c.isalpha() else [])
-        if i and text[i - 1] == c:
-            out.append(("", 0.2))
+        if i and text[i - 1] == c:  # a doubled letter may be meant, a run of three hardly
+            out.append(("", 0.2 if c * 3 in text[max(0, i - 2) : i + 2] else 2.5))
         return out
 
     def decode(self, text: str) -> str:
@@ -176,12 +176,12 @@ def restored(text: str | None, decoder: Decoder) -> Counter:
     return found
 
 
-def _fit(x: list[tuple[np.ndarray, np.ndarray]], y: np.ndarray, width: int, steps: int = 400, l1: float = 2e-4) -> tuple[np.ndarray, float]:
+def _fit(x: list[tuple[np.ndarray, np.ndarray]], y: np.ndarray, width: int, steps: int = 600, l1: float = 2e-4) -> tuple[np.ndarray, float]:
     """Weights and bias by proximal gradient with momentum, an L1 penalty on the weights."""
     at = np.concatenate([a for a, _ in x]) if x else np.empty(0, int)
     value = np.concatenate([v for _, v in x]).astype(float)
     row = np.repeat(np.arange(len(x)), [len(a) for a, _ in x])
-    scale = np.maximum(np.bincount(at, value**2, width) / len(y), 1e-4) ** 0.5  # columns of like size learn alike
+    scale = np.maximum(np.bincount(at, value**2, width) / len(y), 1e-4) ** 0.25  # rare features may weigh more, within reason
     value = value / scale[at]
     w, z, bias, zb, t = np.zeros(width), np.zeros(width), 0.0, 0.0, 1.0
     step = 4.0 / max(1.0, np.bincount(row, value**2, len(y)).mean())
