@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import decontaminate, line_dedup, minhash, mixing, quality_crf, quality_rules, token_counts, toxicity, warc
+from . import decontaminate, line_dedup, minhash, mixing, quality_crf, quality_rules, token_counts, toxicity, url_filter, warc
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -60,5 +60,9 @@ def op9_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     return toxicity.score_toxicity(docs, toxicity.train(docs, table(spark, sf_dir, "labels")))
 
 
-QUERIES = {f.__name__: f for f in (op1_quality_rules, op2_line_dedup, op4_decontaminate, op3_token_counts, op6_minhash, op7_warc, op8_mixing, op9_toxicity, op10_quality_crf)}
+def op5_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return url_filter.url_verdicts(table(spark, sf_dir, "pages")).select("page_id", "host", "path", "rule", "verdict")
+
+
+QUERIES = {f.__name__: f for f in (op1_quality_rules, op2_line_dedup, op4_decontaminate, op5_url_filter, op3_token_counts, op6_minhash, op7_warc, op8_mixing, op9_toxicity, op10_quality_crf)}
 SQL: dict[str, str] = {"op2_line_dedup": OP2_SQL, "op7_warc": warc.ROUND_TRIP_SQL}
