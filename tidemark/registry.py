@@ -2,5 +2,8 @@
 
 from __future__ import annotations
 
-QUERIES: dict = {}
-SQL: dict[str, str] = {}
+from tidemark.plans import skew
+
+PAIRS = skew.PAIRS
+QUERIES = {name: query for name, (query, _) in PAIRS.items()}
+SQL = {name: sql for name, (_, sql) in PAIRS.items() if sql}
