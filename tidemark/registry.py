@@ -2,8 +2,8 @@
 
 from __future__ import annotations
 
-from tidemark.plans import skew
+from tidemark.plans import rounds, routing, skew
 
-PAIRS = skew.PAIRS
+PAIRS = skew.PAIRS | rounds.PAIRS | routing.PAIRS
 QUERIES = {name: query for name, (query, _) in PAIRS.items()}
 SQL = {name: sql for name, (_, sql) in PAIRS.items() if sql}
