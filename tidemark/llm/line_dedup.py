@@ -58,15 +58,15 @@ def line_dedup(
 ) -> DataFrame:
     """``docs`` with boilerplate lines cut out of the text, and ``_ld_lines`` (lines), ``_ld_removed`` (lines cut).
 
-    ``band`` is over five standard errors of a sketch of 2**lg_k registers.  Up to ``broadcast_rows`` keys (under
-    64 bytes each) or texts with hits are broadcast; more are joined by shuffle.
+    ``band`` is over five standard errors of a sketch of 2**lg_k registers.  Up to ``broadcast_rows`` keys of shared
+    lines (under 64 bytes each) are broadcast; more are joined by shuffle.
     """
     lines = lines_of(docs.where(F.col(text_col).isNotNull()), text_col, site_col)
     bad = shared_lines(lines, min_sites, band, lg_k)
     hits = lines.select("doc", "pos", "key").join(small(bad, broadcast_rows), "key", "left_semi").groupBy("doc").agg(F.collect_set("pos").alias("_ld_pos"))
     hits = cut(hits, "hits")
-    # the hash of the text is a column of its own, so that the join compares longs
-    out = docs.withColumn("_ld_doc", _hash(F.col(text_col))).join(small(hits.withColumnRenamed("doc", "_ld_doc"), broadcast_rows // 10), "_ld_doc", "left")
+    # texts with hits grow as the texts do: they are joined by their hash, a column of its own, never broadcast here
+    out = docs.withColumn("_ld_doc", _hash(F.col(text_col))).join(hits.withColumnRenamed("doc", "_ld_doc"), "_ld_doc", "left")
     all_lines = F.split(text_col, "\n")
     pos = F.col("_ld_pos")
     out = out.withColumn("_ld_text", F.when(pos.isNotNull(), F.array_join(F.filter(all_lines, lambda x, i: ~F.array_contains(pos, i)), "\n")))
