@@ -31,41 +31,37 @@ def expand(spark: SparkSession, common: dict[str, list], specific: dict[str, dic
     """ord, params: every choice of the axes for every model; a model's own axis replaces the common one of the same name."""
     parts = []
     for model in sorted(specific):
-        axes = common | specific[model]
-        frames = [spark.createDataFrame([(str(v),) for v in axes[k]], f"`{k}` string") for k in sorted(axes)]
-        crossed = reduce(DataFrame.crossJoin, frames, spark.createDataFrame([(model,)], "model_name string"))
-        parts.append(crossed.select(F.create_map(*[x for k in ["model_name", *sorted(axes)] for x in (F.lit(k), F.col(f"`{k}`"))]).alias("params")))
+        axes = {"model_name": [model]} | common | specific[model]
+        row = spark.range(0, 1, 1, 1)
+        for k in sorted(axes):  # one task multiplies the choices out: a cross join would multiply partitions too
+            row = row.withColumn(k, F.explode(F.array(*[F.lit(str(v)) for v in axes[k]])))
+        parts.append(row.select(F.create_map(*[x for k in sorted(axes) for x in (F.lit(k), F.col(f"`{k}`"))]).alias("params")))
     out = reduce(DataFrame.union, parts)
     return out.select((F.row_number().over(Window.partitionBy(F.lit(0)).orderBy(fingerprint_text(F.col("params"), None))) - 1).cast("long").alias("ord"), "params")
 
 
-def _fill(params: Column, defaults: dict[str, str]) -> Column:
-    """Defaults for keys that are absent or empty."""
-    table = F.create_map(*[F.lit(x) for kv in defaults.items() for x in kv])
-    have = F.map_filter(params, lambda k, v: v.isNotNull() & (v != ""))
-    return F.map_concat(F.map_filter(table, lambda k, v: ~F.map_contains_key(have, k)), have)
-
-
-def _force(params: Column, values: dict[str, str]) -> Column:
-    table = F.create_map(*[F.lit(x) for kv in values.items() for x in kv])
-    return F.map_concat(F.map_filter(params, lambda k, v: ~F.map_contains_key(table, k)), table)
-
-
 def normalise(configs: DataFrame) -> DataFrame:
-    """Keys that mean nothing under a configuration's other keys get one fixed value; keys that do get their defaults."""
-
-    def step(params: str, active: Column, inactive: dict, defaults: dict):
-        p = F.col(params)
-        return F.when(active, _fill(p, defaults) if defaults else p).otherwise(_force(p, inactive))
-
-    value = lambda k: F.coalesce(F.try_element_at("params", F.lit(k)), F.lit(""))
-    out = configs.withColumn("params", _fill(F.col("params"), {"partition_strategy": "stratified", "train_augmentation": "False"}))
-    out = out.withColumn("params", step("params", value("partition_strategy") == "dirichlet", PARTITION_INACTIVE, PARTITION_DEFAULTS))
-    out = out.withColumn("params", step("params", value("aggregation_algorithm") == "FIPA", FIPA_INACTIVE, FIPA_DEFAULTS))
-    out = out.withColumn("params", step("params", value("aggregation_algorithm") == "FedDisco", FEDDISCO_INACTIVE, FEDDISCO_DEFAULTS))
-    out = out.withColumn("params", step("params", value("aggregation_algorithm") == "FedProx", PROX_INACTIVE, {}))
-    on = F.lower(F.trim(value("train_augmentation"))).isin("true", "1", "yes")
-    return out.withColumn("params", step("params", on, AUGMENTATION_INACTIVE, AUGMENTATION_DEFAULTS))
+    """Keys that mean nothing under a configuration's other keys get one fixed value; keys that do get their defaults.
+
+    Every controlled key is one expression over the original map, so the plan grows with the keys, not with their nesting.
+    """
+    value = lambda k: F.nullif(F.try_element_at("params", F.lit(k)), F.lit(""))
+    rule, strategy = value("aggregation_algorithm"), F.coalesce(value("partition_strategy"), F.lit("stratified"))
+    augmented = F.coalesce(value("train_augmentation"), F.lit("False"))
+    settled = {"partition_strategy": strategy, "train_augmentation": augmented}
+    groups = (
+        (strategy == "dirichlet", PARTITION_INACTIVE, PARTITION_DEFAULTS),
+        (rule == "FIPA", FIPA_INACTIVE, FIPA_DEFAULTS),
+        (rule == "FedDisco", FEDDISCO_INACTIVE, FEDDISCO_DEFAULTS),
+        (rule == "FedProx", PROX_INACTIVE, {}),
+        (F.lower(F.trim(augmented)).isin("true", "1", "yes"), AUGMENTATION_INACTIVE, AUGMENTATION_DEFAULTS),
+    )
+    for active, inactive, defaults in groups:
+        for k in inactive:
+            settled[k] = F.when(active, F.coalesce(value(k), F.lit(defaults.get(k)).cast("string"))).otherwise(F.lit(inactive[k]))
+    made = F.create_map(*[x for k, v in settled.items() for x in (F.lit(k), v)])
+    rest = F.map_filter("params", lambda k, v: ~k.isin(*settled) & v.isNotNull() & (v != ""))
+    return configs.withColumn("params", F.map_concat(rest, F.map_filter(made, lambda k, v: v.isNotNull())))
 
 
 def fingerprint_text(params: Column, keys: tuple[str, ...] | None) -> Column:
@@ -83,7 +79,7 @@ def fingerprint(configs: DataFrame, keys: tuple[str, ...] | None = None) -> Data
 def new_configs(generated: DataFrame, executed: DataFrame, keys: tuple[str, ...] | None = None) -> DataFrame:
     """Generated configurations that were never run, once each: the first by ``ord`` of equal ones."""
     left, right = fingerprint(normalise(generated), keys), fingerprint(normalise(executed), keys)
-    first = left.groupBy("fingerprint").agg(F.min(F.struct("ord", "params")).alias("s")).select("fingerprint", "s.ord", "s.params")
+    first = left.groupBy("fingerprint").agg(F.min_by("params", "ord").alias("params"), F.min("ord").alias("ord"))
     return first.join(right.select("fingerprint"), "fingerprint", "left_anti")
 
 

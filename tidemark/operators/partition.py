@@ -66,9 +66,10 @@ def dirichlet_assign(rows: DataFrame, label: str, proportions: DataFrame, order:
 def dirichlet_partition(rows: DataFrame, label: str, unit: str, clients: int, alpha: float, min_images: int = 10, weight: str | None = None, attempts: int = 50, seed: int = 42) -> DataFrame:
     """:func:`dirichlet_assign` with drawn shares, drawn again until every client has two units and ``min_images``; else an error."""
     classes = [r[0] for r in rows.select(label).distinct().orderBy(label).collect()]
+    schema = f"`{label}` {rows.schema[label].dataType.simpleString()}, client int, p double"
     spark, images = rows.sparkSession, F.sum(weight) if weight else F.count("*")
     for k in range(attempts):
-        table = spark.createDataFrame(draw_proportions(classes, clients, alpha, seed + k), rows.select(label).schema.add("client", "int").add("p", "double"))
+        table = spark.createDataFrame(draw_proportions(classes, clients, alpha, seed + k), schema)
         out = dirichlet_assign(rows, label, table, [seeded(unit, seed + k), F.col(unit)])
         worst = out.groupBy("client").agg(F.count("*").alias("u"), images.alias("i")).agg(F.count("*"), F.min("u"), F.min("i")).first()
         if worst[0] == clients and worst[1] >= 2 and worst[2] >= min_images:
@@ -138,9 +139,9 @@ def conditions(spark, corruptions: list[str], severities: list[int]) -> DataFram
     """corruption, severity, condition: the plan of a corrupted set."""
     from tidemark.functions.scalar import condition_name
 
-    a = spark.createDataFrame([(c,) for c in corruptions], "corruption string")
-    b = spark.createDataFrame([(s,) for s in severities], "severity int")
-    return a.crossJoin(b).withColumn("condition", condition_name(F.col("corruption"), F.col("severity")))
+    rows = spark.range(0, 1, 1, 1).select(F.explode(F.array(*map(F.lit, corruptions))).alias("corruption"))
+    rows = rows.withColumn("severity", F.explode(F.array(*map(F.lit, severities))))
+    return rows.withColumn("condition", condition_name(F.col("corruption"), F.col("severity")))
 
 
 def corrupt(rows: DataFrame, vector: str, plan: DataFrame, id_col: str) -> DataFrame:

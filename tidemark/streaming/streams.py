@@ -23,7 +23,13 @@ def drain(stream: DataFrame, name: str, mode: str = "append", checkpoint: str |
     """Run a stream over what there is and return its result as a table in memory (tests and small results)."""
     w = stream.writeStream.outputMode(mode).format("memory").queryName(name).trigger(availableNow=True)
     w = w.option("checkpointLocation", checkpoint) if checkpoint else w
-    w.start().awaitTermination()
+    conf, key = stream.sparkSession.conf, "spark.sql.streaming.noDataMicroBatches.enabled"
+    before = conf.get(key)
+    conf.set(key, "false")  # a query with timers would otherwise run batches without data for ever
+    try:
+        w.start().awaitTermination()
+    finally:
+        conf.set(key, before)
     return stream.sparkSession.table(name)
 
 
