@@ -136,7 +136,9 @@ def cascade(df: DataFrame, rules: list[Rule], name: str = "rejected_by") -> Data
     verdict = F
     for r in rules:
         verdict = verdict.when(r.rejects, F.lit(r.name))
-    return df.withColumn(name, verdict.otherwise(F.lit(None).cast("string")) if rules else F.lit(None).cast("string"))
+    verdict = verdict.otherwise(F.lit(None).cast("string")) if rules else F.lit(None).cast("string")
+    # a generated column: a filter on it is not pushed down, where its features would be inlined into each other's lambdas
+    return df.withColumn(name, F.explode(F.array(verdict)))
 
 
 def quality_rules(docs: DataFrame, text_col: str = "text", rules: list[Rule] | None = None, sample_rows: int = 1000) -> DataFrame:
@@ -144,4 +146,7 @@ def quality_rules(docs: DataFrame, text_col: str = "text", rules: list[Rule] | N
     rules = default_rules() if rules is None else rules
     out = cascade(base_counts(docs, text_col), order_rules(docs, rules, text_col, sample_rows))
     helpers = [c for c in out.columns if c in ("_text", "_words", "_grams", "_sorted", "_twice", "_pairs", "_at", "_lines", "_n_lines")]
-    return out.withColumn("kept", F.col("rejected_by").isNull() & ~F.col("base_failed")).drop(*helpers)
+    out = out.withColumn("kept", F.col("rejected_by").isNull() & ~F.col("base_failed")).drop(*helpers)
+    made = ("n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "rejected_by", "kept")
+    given = [c for c in docs.columns if c not in made]
+    return out.select(*given, F.explode(F.array(F.struct(*made))).alias("_made")).select(*given, "_made.*")
