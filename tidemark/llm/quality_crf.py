@@ -155,7 +155,8 @@ def learning_rows(docs: DataFrame, labels: DataFrame, label_col: str, id_col: st
     ids = labels.where(F.col(label_col).isin(0, 1) & ~held_out(F.col(id_col)) & F.col(id_col).isNotNull())
     ids = ids.groupBy(F.col(id_col).alias("_id")).agg(F.min(label_col).cast("int").alias("label"), F.max(label_col).alias("_max")).where("label = _max")
     ids = ids.orderBy(F.xxhash64("_id"), "_id").limit(rows).select("_id", "label")
-    return docs.join(F.broadcast(ids), docs[id_col] == ids["_id"]).select("label", F.col(text_col).alias("text"))
+    texts = docs.select(F.col(id_col).alias("_doc"), F.col(text_col).alias("text"))
+    return texts.join(F.broadcast(ids), F.col("_doc") == F.col("_id")).select("label", "text")
 
 
 def train(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text", label_col: str = "quality", train_rows: int = 6000, train_lines: int = 2000) -> dict:
