@@ -92,7 +92,7 @@ def default_rules() -> list[Rule]:
         Rule("repeats_itself", 100 * c("n_repeat_words") > 50 * c("n_words")),
         Rule("symbols", 10 * c("n_symbols") > 3 * c("n_words")),
         Rule("word_length", (c("word_chars") < 2 * c("n_words")) | (c("word_chars") > 20 * c("n_words"))),
-        Rule("dup_lines", 10 * c("n_dup_lines") > 3 * c("_n_lines")),
+        Rule("dup_lines", (c("n_dup_lines") > 2) & (2 * c("n_dup_lines") > c("_n_lines"))),
         Rule("shouting", 3 * F.length(F.regexp_replace("_text", r"[^\p{Lu}]+", "")) > c("word_chars")),
         Rule("one_word", F.size(F.array_distinct("_words")) * 10 < c("n_words")),
     ]

@@ -28,7 +28,7 @@ f as (select doc_id, len(ws)::bigint as n_words, length(array_to_string(ws, ''))
   length(regexp_replace(t, '[^\p{Lu}]+', '', 'g')) as upper from w left join r using (rid)),
 b as (select *, n_words < 50 or 100 * n_repeat_words > 50 * n_words as base_failed from f)
 select doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, base_failed, not (base_failed or 10 * n_symbols > 3 * n_words or word_chars < 2 * n_words or word_chars > 20 * n_words
-  or 10 * n_dup_lines > 3 * n_lines or 3 * upper > word_chars or 10 * kinds < n_words) as kept from b
+  or (n_dup_lines > 2 and 2 * n_dup_lines > n_lines) or 3 * upper > word_chars or 10 * kinds < n_words) as kept from b
 """
 
 
