@@ -100,6 +100,21 @@ def test_whole_copies_keep_their_lines(spark):
     assert line_dedup.line_dedup(frame).where("_ld_removed > 0").count() == 0
 
 
+def test_only_copies_keep_a_text_of_shared_lines(spark):
+    shared = ["licence line one of many words here", "footer line of the usual sort", "another notice that all carry"]
+    body = [" ".join(f"c{i}x{j}" for j in range(12)) for i in range(10)]
+    rows = [(k, f"own{k} " * 30 + "\n" + "\n".join(shared), f"s{k}") for k in range(6)]
+    rows += [(10, "\n".join(shared[:2]), "s1"), (11, shared[2] + "\nown few words", "s2"), (12, shared[2] + "\n" + shared[0] + " ", "s3")]
+    rows += [(20 + k, "\n".join([*body, f"tail{k}"]), f"s{k}") for k in range(7)]
+    frame = spark.createDataFrame([*rows, (30, "\n".join(shared[:1]), "s4"), (31, "\n".join(shared[:1]), "s5")], "doc_id long, text string, source string")
+    got = {r["doc_id"]: (r["text"], r["_ld_removed"]) for r in line_dedup.line_dedup(frame).collect()}
+    assert (got[10], got[11], got[12]) == (("", 2), ("own few words", 1), ("", 2))
+    assert all(got[k][1] == 3 for k in range(6))
+    assert all(got[k] == (t, 0) for k, t, _ in rows if k >= 20) and got[30][1] == got[31][1] == 0
+    left = {r["doc_id"]: r["_ld_removed"] for r in line_dedup.line_dedup(frame, copies_only=False).collect()}
+    assert not any(left[k] for k in (10, 11, 12, 20, 30))
+
+
 def test_token_counts_equal_library(docs, odd):
     library = token_counts._load("byte_bpe_50k.json")
     for frame in (docs, odd):

@@ -5,8 +5,10 @@ counted in two tiers: a HyperLogLog sketch of sites per line hash, merged by agg
 exact distinct count only for lines whose estimate is within ``band`` of the threshold.  No site list is ever
 gathered, so a line on every site costs one sketch.
 
-A text gives up its boilerplate only while that is at most ``max_share`` of its words: a text made of shared lines
-is a copy of a whole document, which document-level deduplication judges, not a page with a footer.
+A text gives up its boilerplate whatever its share, unless the text is shown to be a copy: of the texts with more than
+``max_share`` of their words in shared lines, those that stand on several rows or have a near copy among them
+(``minhash.near_duplicates``) stay whole, as document-level deduplication keeps one of them.  With
+``copies_only=False`` every text above the share stays whole, copy or not.
 
 Null sites are no evidence of spread.  Null texts stay null and have no lines; blank lines are never removed.
 Repeated rows count as one site.  Removal depends on the text alone, so rows with the same text change alike.
@@ -19,6 +21,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .common import cut, n_words, small
+from .minhash import near_duplicates
 
 _TRIM = " \t\r\x0b\x0c"
 
@@ -33,9 +36,12 @@ def _hash(col):
 
 
 def lines_of(docs: DataFrame, text_col: str, site_col: str) -> DataFrame:
-    """text (two hashes), site, pos and line (two hashes) of every line that is not blank."""
-    rows = docs.select(F.col(site_col).cast("string").alias("site"), _hash(F.col(text_col)).alias("doc"), F.posexplode(F.split(text_col, "\n")).alias("pos", "raw"))
-    return rows.select("site", "doc", "pos", _trimmed(F.col("raw")).alias("line")).where("line <> ''").select("site", "doc", "pos", _hash(F.col("line")).alias("key"))
+    """text (two hashes), site, pos and line (two hashes, and as it is) of every line that is not blank."""
+    # the text is hashed below the explode, once and not for each line
+    rows = docs.select(F.col(site_col).cast("string").alias("site"), _hash(F.col(text_col)).alias("doc"), F.col(text_col).alias("text"))
+    rows = rows.select("site", "doc", F.posexplode(F.split("text", "\n")).alias("pos", "raw"))
+    rows = rows.select("site", "doc", "pos", _trimmed(F.col("raw")).alias("line")).where("line <> ''")
+    return rows.select("site", "doc", "pos", _hash(F.col("line")).alias("key"), "line")
 
 
 def shared_lines(lines: DataFrame, min_sites: int, band: float, lg_k: int) -> DataFrame:
@@ -52,9 +58,19 @@ def shared_lines(lines: DataFrame, min_sites: int, band: float, lg_k: int) -> Da
     return cut(sure.union(exact), "shared")
 
 
+def copies(docs: DataFrame, over: DataFrame, text_col: str, broadcast_rows: int) -> DataFrame:
+    """doc of the texts ``over`` (doc, rows) that stand on several rows or are near copies of others of them."""
+    texts = docs.select(_hash(F.col(text_col)).alias("doc"), F.col(text_col).alias("text")).join(small(over.select("doc"), broadcast_rows), "doc", "left_semi")
+    texts = cut(texts.dropDuplicates(["doc"]).select(F.col("doc.h1").alias("h1"), "text"), "over")
+    groups = cut(near_duplicates(texts, "h1"), "groups")
+    several = groups.groupBy("component_id").agg(F.count("*").alias("n")).where("n > 1").select("component_id")
+    near = groups.join(several, "component_id", "left_semi").select("h1")
+    return over.where("rows > 1").select("doc").union(over.join(near, F.col("doc.h1") == near["h1"], "left_semi").select("doc")).distinct()
+
+
 def line_dedup(
     docs: DataFrame, text_col: str = "text", site_col: str = "source", min_sites: int = 6, band: float = 0.1, lg_k: int = 12,
-    max_share: float = 0.5, broadcast_rows: int = 500_000,
+    max_share: float = 0.5, broadcast_rows: int = 500_000, copies_only: bool = True,
 ) -> DataFrame:
     """``docs`` with boilerplate lines cut out of the text, and ``_ld_lines`` (lines), ``_ld_removed`` (lines cut).
 
@@ -63,18 +79,28 @@ def line_dedup(
     """
     lines = lines_of(docs.where(F.col(text_col).isNotNull()), text_col, site_col)
     bad = shared_lines(lines, min_sites, band, lg_k)
-    hits = lines.select("doc", "pos", "key").join(small(bad, broadcast_rows), "key", "left_semi").groupBy("doc").agg(F.collect_set("pos").alias("_ld_pos"))
-    hits = cut(hits, "hits")
+    hits = lines.select("doc", "pos", "key", "line").join(small(bad, broadcast_rows), "key", "left_semi").select("doc", "pos", n_words(F.col("line")).alias("n"))
+    hits = hits.groupBy("doc").agg(F.collect_set(F.struct("pos", "n")).alias("found"), F.count("*").alias("rows"))
+    n_bad = F.aggregate("found", F.lit(0), lambda s, x: s + x["n"])
+    hits = cut(hits.select("doc", F.col("found.pos").alias("_ld_pos"), n_bad.alias("_ld_bad"), (F.col("rows") / F.size("found")).alias("rows")), "hits")
+    if copies_only:
+        words = docs.select(_hash(F.col(text_col)).alias("doc"), n_words(F.col(text_col)).alias("words"))
+        whole = words.join(hits, "doc").where(F.col("_ld_bad") > max_share * F.col("words")).select("doc", "rows").distinct()
+        whole = cut(whole, "whole")
+        if not whole.isEmpty():
+            whole = cut(copies(docs, whole, text_col, broadcast_rows), "copies")
+            hits = hits.join(small(whole, broadcast_rows), "doc", "left_anti")
+    hits = hits.select("doc", "_ld_pos", "_ld_bad")
     # texts with hits grow as the texts do: they are joined by their hash, a column of its own, never broadcast here
     out = docs.withColumn("_ld_doc", _hash(F.col(text_col))).join(hits.withColumnRenamed("doc", "_ld_doc"), "_ld_doc", "left")
     all_lines = F.split(text_col, "\n")
+    pos = F.col("_ld_pos") if copies_only else F.when(F.col("_ld_bad") <= max_share * n_words(F.col(text_col)), F.col("_ld_pos"))
+    out = out.withColumn("_ld_pos", pos)
     pos = F.col("_ld_pos")
     out = out.withColumn("_ld_text", F.when(pos.isNotNull(), F.array_join(F.filter(all_lines, lambda x, i: ~F.array_contains(pos, i)), "\n")))
-    share = F.col("_ld_text").isNotNull() & (n_words(F.col("_ld_text")) >= (1 - max_share) * n_words(F.col(text_col)))
-    out = out.withColumn("_ld_cut", F.coalesce(share, F.lit(False)))
     out = out.withColumn("_ld_lines", F.coalesce(F.size(F.filter(all_lines, lambda x: _trimmed(x) != "")), F.lit(0)).cast("long"))
-    out = out.withColumn("_ld_removed", F.when(F.col("_ld_cut"), F.size("_ld_pos")).otherwise(0).cast("long"))
-    out = out.withColumn(text_col, F.when(F.col("_ld_cut"), F.col("_ld_text")).otherwise(F.col(text_col)))
+    out = out.withColumn("_ld_removed", F.when(pos.isNotNull(), F.size("_ld_pos")).otherwise(0).cast("long"))
+    out = out.withColumn(text_col, F.coalesce("_ld_text", text_col))
     return out.select(*docs.columns, "_ld_lines", "_ld_removed")
 
 

@@ -33,7 +33,8 @@ select doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, base
 
 
 def op2_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
-    rows = line_dedup.line_dedup(table(spark, sf_dir, "documents").select("doc_id", "text", "source"))
+    # OP2_SQL leaves every text above the share whole
+    rows = line_dedup.line_dedup(table(spark, sf_dir, "documents").select("doc_id", "text", "source"), copies_only=False)
     return rows.select("doc_id", F.col("_ld_lines").alias("n_lines"), F.col("_ld_removed").alias("n_removed"), "text")
 
 
