@@ -20,10 +20,12 @@ _written: list[tuple[SparkSession, str]] = []
 def shared_dir(spark: SparkSession) -> str:
     """The folder that driver and executors share (``spark.checkpoint.dir``).
 
-    Only a session without that setting (a local test) gets a temporary folder.
+    Only a local session without that setting (a test) gets a temporary folder; on a cluster it must be set.
     """
     base = spark.conf.get("spark.checkpoint.dir", None)
     if not base:
+        if not spark.sparkContext.master.startswith("local[") and spark.sparkContext.master != "local":
+            raise ValueError("set spark.checkpoint.dir to a folder that driver and executors share")
         base = "file://" + tempfile.mkdtemp(prefix="tidemark-")
         spark.conf.set("spark.checkpoint.dir", base)
     return base.rstrip("/")
@@ -71,6 +73,46 @@ def small(df: DataFrame, max_rows: int) -> DataFrame:
     return F.broadcast(df) if df.limit(max_rows + 1).count() <= max_rows else df
 
 
+class HotKeys:
+    """The keys that hold so many rows that one task should not get them all.
+
+    A key is hot if it holds more than ``least`` rows and more than one in ``most`` of ``total``: there are fewer than
+    ``most`` such keys whatever the data, so their list may be broadcast, and any other key is a small share of all.
+    ``counts``: keys and ``n``, their rows.
+    """
+
+    def __init__(self, counts: DataFrame, keys: list[str], total: int, least: int = 1000, most: int = 100_000):
+        self.keys, limit = keys, max(least, total // most)
+        hot = counts.where(F.col("n") > limit).select(*keys, F.ceil(F.col("n") / limit).cast("int").alias("_salts"))
+        self.hot = cut(hot, "hot")
+        self.any = not self.hot.isEmpty()
+
+    def join(self, left: DataFrame, right: DataFrame, spread: list[str], how: str = "inner") -> DataFrame:
+        """``left`` join ``right`` on the keys; a hot key's left rows are dealt over tasks by ``spread``, its right rows repeated to each.
+
+        With ``how="left"`` rows with a null key, which meet nothing, are dealt out as well.
+        """
+        deal = F.xxhash64(*spread)
+        salt = F.lit(0)
+        if self.any:
+            left = left.join(F.broadcast(self.hot), self.keys, "left")
+            right = right.join(F.broadcast(self.hot), self.keys, "left")
+            salt = F.coalesce(F.pmod(deal, F.col("_salts")).cast("int"), salt)
+            right = right.withColumn("_salt", F.explode(F.sequence(F.lit(0), F.coalesce(F.col("_salts") - 1, F.lit(0))))).drop("_salts")
+        else:
+            right = right.withColumn("_salt", F.lit(0))
+        if how == "left":
+            for k in self.keys:
+                salt = F.when(F.col(k).isNull(), F.pmod(deal, F.lit(1024)).cast("int")).otherwise(salt)
+        left = left.withColumn("_salt", salt).drop("_salts")
+        return left.join(right, [*self.keys, "_salt"], how).drop("_salt")
+
+
+def hot_keys(left: DataFrame, keys: list[str], least: int = 1000, most: int = 100_000) -> HotKeys:
+    """The hot keys of a table that was cut, counted."""
+    return HotKeys(left.groupBy(*keys).agg(F.count("*").alias("n")), keys, left.count(), least, most)
+
+
 def n_words(text):
     """Words in a text column; 0 for null."""
     t = F.coalesce(text, F.lit(""))
