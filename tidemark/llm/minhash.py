@@ -1,7 +1,8 @@
 """Near-duplicate groups: one-permutation MinHash with optimal densification, bands, stars, exact confirmation.
 
-1. Every text becomes its set of word shingles (64-bit hashes).  Texts with equal sets are one *class*.
-2. A class representative gets one signature from one hash pass: the hash range is cut into ``bins``
+1. Every text becomes its set of word shingles (64-bit hashes).  Texts with equal sets are one *class*, known by a
+   128-bit digest of the set; buckets, sets and pairs are keyed by it, links and components by the class's least id.
+2. A set gets one signature from one hash pass: the hash range is cut into ``bins``
    bins and each keeps its least hash; an empty bin takes the value of a full one picked by a 2-universal
    sequence of its own (optimal densification).  ``bands`` bands of ``bins / bands`` values give bucket keys.
 3. Each bucket proposes a star: its members against one centre, the member with the most company over all
@@ -9,14 +10,17 @@
    Every proposed pair is confirmed on the full sets; linked pairs are joined into components.
 4. A star can miss a link between two members that both differ from the centre.  Buckets whose members are
    not yet in one component are therefore gathered into clusters, and each cluster is compared exactly in
-   blocks of bounded size; a task returns spanning links only, never the pairs.
+   blocks of bounded rows and hashes; a task returns spanning links only, never the pairs.
    So every two classes that share a bucket and pass the similarity are in one component.
 
-With 32 bands of 6, a pair at similarity 0.85 shares no bucket with probability below 3e-7.
+With 32 bands of 6, a pair at similarity 0.85 shares no bucket with probability below 3e-7 if bands were independent;
+bins that densification filled are not, so short texts lose a little more: README has the measured recall by length.
 
-Nothing is collected to the driver but counts.  Null or empty texts have an empty set, are linked with nothing
-and stand alone.  Repeated rows are copies of each other.  A null id gets its group's id but never names a
-group, and is kept by none.  The same id on different texts is one document.  Other columns are ignored.
+Hot buckets, centres and classes are dealt over tasks (``common.HotKeys``).  Nothing is collected to the driver but
+counts.  Null or empty texts have an empty set, are linked with nothing and stand alone.  Repeated rows are copies of
+each other.  A null id gets its group's id but never names a group, and is kept by none.  The same id on different texts
+is one document: it links the groups of all its texts.  Very long texts are one set of 8 bytes a shingle in one
+task, never more.  Ties (equal sizes, equal company) are settled by the digest.  Other columns are ignored.
 """
 
 from __future__ import annotations
@@ -29,7 +33,7 @@ import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import cut, small
+from .common import HotKeys, cut, hot_keys, small
 
 _M = np.uint64(0x9E3779B97F4A7C15)
 
@@ -134,16 +138,18 @@ def sign(docs: DataFrame, id_col: str, text_col: str, width: int, bands: int, ro
     return docs.select(F.col(id_col).cast("long"), text_col).mapInArrow(run, "doc_id long, n_shingles long, key binary, buckets array<long>")
 
 
-def _sets(docs: DataFrame, id_col: str, text_col: str, width: int) -> DataFrame:
-    """doc_id, set (little-endian 64-bit hashes)."""
+def _sets(docs: DataFrame, width: int) -> DataFrame:
+    """key, set (little-endian 64-bit hashes) of rows (doc_id, text)."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        from xxhash import xxh3_128_digest
+
         hashes = _Hashes()
         for b in batches:
             sets = [shingle_set(t.as_py(), width, hashes).tobytes() for t in b.column(1)]
-            yield pa.RecordBatch.from_arrays([b.column(0), pa.array(sets, pa.binary())], names=["doc_id", "set"])
+            yield pa.RecordBatch.from_arrays([pa.array([xxh3_128_digest(x) for x in sets], pa.binary()), pa.array(sets, pa.binary())], names=["key", "set"])
 
-    return docs.select(F.col(id_col).cast("long"), text_col).mapInArrow(run, "doc_id long, set binary")
+    return docs.mapInArrow(run, "key binary, set binary")
 
 
 def _linked(common: np.ndarray, a, b, percent: int) -> np.ndarray:
@@ -151,7 +157,10 @@ def _linked(common: np.ndarray, a, b, percent: int) -> np.ndarray:
 
 
 def confirm(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
-    """The pairs (a, b) whose full sets are similar enough. A pair brings one set to the other's task."""
+    """a, b (least ids) of the pairs (key_a, key_b, a, b) whose full sets are similar enough.
+
+    A pair brings one set to the other's task; a centre of very many pairs is dealt over tasks.
+    """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
@@ -162,8 +171,8 @@ def confirm(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
                 keep.append(bool(_linked(both - len(np.union1d(x, y)), len(x), len(y), percent)))
             yield pa.RecordBatch.from_arrays([b.column(0), b.column(1)], names=["a", "b"]).filter(pa.array(keep, pa.bool_()))
 
-    one = pairs.join(sets.select(F.col("doc_id").alias("b"), F.col("set").alias("set_b")), "b")
-    two = one.join(sets.select(F.col("doc_id").alias("a"), F.col("set").alias("set_a")), "a")
+    one = pairs.join(sets.select(F.col("key").alias("key_b"), F.col("set").alias("set_b")), "key_b")
+    two = hot_keys(pairs, ["key_a"]).join(one, sets.select(F.col("key").alias("key_a"), F.col("set").alias("set_a")), ["key_b"])
     return two.select("a", "b", "set_a", "set_b").mapInArrow(run, "a long, b long")
 
 
@@ -190,11 +199,53 @@ def components(links: DataFrame, name: str = "components") -> DataFrame:
     return links.select(F.col("a").alias("node"), F.col("b").alias("component")).union(links.select("b", "b").distinct())
 
 
+def _common(rows: np.ndarray, n: int, owner: np.ndarray, col: np.ndarray, begin: np.ndarray, starts: np.ndarray) -> np.ndarray:
+    """Shared hashes of each of ``rows`` with each of the n sets of a block, as len(rows) x n counts.
+
+    ``owner``/``col``: entries in order of their hash; ``begin``: where each hash's entries begin; ``starts``: each set's hashes
+    (``starts[k]``).  Hashes that many sets hold go through products of 0/1 matrices, a slice of columns at a time; the
+    others through their lists of owners, a bounded number of entries at a time.
+    """
+    df = np.diff(begin)
+    out = np.zeros(len(rows) * n, np.int32)
+    dense = np.flatnonzero(df > max(8, n // 16))
+    place = np.full(len(df), -1)
+    for k in range(0, len(dense), 2048):
+        part = dense[k : k + 2048]
+        place[part] = np.arange(len(part))
+        at = np.concatenate([np.arange(begin[c], begin[c + 1]) for c in part])
+        x = np.zeros((n, len(part)), np.float32)
+        x[owner[at], place[col[at]]] = 1
+        out += (x[rows] @ x.T).astype(np.int32).ravel()
+    few = df <= max(8, n // 16)
+    held, entry_row, entry_col = 0, [], []
+
+    def flush() -> None:
+        nonlocal held, entry_row, entry_col, out
+        if held:
+            r, c = np.concatenate(entry_row), np.concatenate(entry_col)
+            reps = df[c]
+            first = np.repeat(begin[c] - (np.cumsum(reps) - reps), reps)
+            out += np.bincount(np.repeat(r, reps) * n + owner[first + np.arange(len(first))], minlength=len(out)).astype(np.int32)
+        held, entry_row, entry_col = 0, [], []
+
+    for k, i in enumerate(rows):
+        c = starts[i]
+        c = c[few[c]]
+        entry_row.append(np.full(len(c), k))
+        entry_col.append(c)
+        held += int(df[c].sum())
+        if held > 2_000_000:
+            flush()
+    flush()
+    return out.reshape(len(rows), n)
+
+
 def _spanning(ids: np.ndarray, comps: np.ndarray, sets: list[np.ndarray], percent: int) -> list[tuple[int, int]]:
     """Links between different components of one block, enough to span them.
 
-    All but the largest component are compared with everything, by products of 0/1 matrices over the hashes
-    that at least two sets hold, a slice of columns at a time.
+    All but the largest component are compared with everything, a few rows at a time, by the hashes that at least two
+    sets hold.
     """
     n = len(ids)
     names, inverse, sizes_ = np.unique(comps, return_inverse=True, return_counts=True)
@@ -206,17 +257,12 @@ def _spanning(ids: np.ndarray, comps: np.ndarray, sets: list[np.ndarray], percen
     _, col, df = np.unique(np.concatenate(sets), return_inverse=True, return_counts=True)
     shared = df[col] > 1
     owner, col = owner[shared], col[shared]
+    col = np.unique(col, return_inverse=True)[1]
+    ends = np.cumsum(np.bincount(owner, minlength=n))
+    starts = np.split(col, ends[:-1])
     order = np.argsort(col, kind="stable")
-    owner, col = owner[order], np.searchsorted(np.unique(col), col[order])
-    common = np.zeros((len(rest), n), np.float32)
-    step = 2048
-    for start in range(0, int(col[-1]) + 1 if len(col) else 0, step):
-        lo, hi = np.searchsorted(col, [start, start + step])
-        x = np.zeros((n, step), np.float32)
-        x[owner[lo:hi], col[lo:hi] - start] = 1
-        common += x[rest] @ x.T
-    common = common.astype(np.int64)
-    near = _linked(common, size[rest][:, None], size[None, :], percent) & (comps[rest][:, None] != comps[None, :])
+    owner, col = owner[order], col[order]
+    begin = np.searchsorted(col, np.arange(int(col[-1]) + 2 if len(col) else 1))
     found, parent = [], {c: c for c in names.tolist()}
 
     def root(c: int) -> int:
@@ -224,32 +270,37 @@ def _spanning(ids: np.ndarray, comps: np.ndarray, sets: list[np.ndarray], percen
             parent[c] = c = parent[parent[c]]
         return c
 
-    for i, j in zip(*np.nonzero(near), strict=True):
-        p, q = root(int(comps[rest[i]])), root(int(comps[j]))
-        if p != q:
-            parent[p] = q
-            found.append((int(ids[rest[i]]), int(ids[j])))
+    for k in range(0, len(rest), 256):
+        part = rest[k : k + 256]
+        common = _common(part, n, owner, col, begin, starts).astype(np.int64)
+        near = _linked(common, size[part][:, None], size[None, :], percent) & (comps[part][:, None] != comps[None, :])
+        for i, j in zip(*np.nonzero(near), strict=True):
+            p, q = root(int(comps[part[i]])), root(int(comps[j]))
+            if p != q:
+                parent[p] = q
+                found.append((int(ids[part[i]]), int(ids[j])))
     return found
 
 
-def _rest_of_clusters(members: DataFrame, comps: DataFrame, sets: DataFrame, percent: int, block_hashes: int) -> DataFrame | None:
-    """Links that stars missed: members (bucket, rep, n, n_shingles) of buckets whose members fall into several components."""
+def _rest_of_clusters(members: DataFrame, hot: HotKeys, comps: DataFrame, sets: DataFrame, percent: int, block_hashes: int, block_rows: int) -> DataFrame | None:
+    """Links that stars missed: members (bucket, key, rep, n, n_shingles) of buckets whose members fall into several components."""
     labelled = members.where("n > 2").join(comps.withColumnRenamed("node", "rep"), "rep", "left").withColumn("component", F.coalesce("component", "rep"))
-    labelled = cut(labelled.select("bucket", "rep", "n_shingles", "component"), "labelled")
+    labelled = cut(labelled.select("bucket", "key", "rep", "n_shingles", "component"), "labelled")
     mixed = labelled.groupBy("bucket").agg(F.min("component").alias("lo"), F.max("component").alias("hi"), F.min("rep").alias("first")).where("lo <> hi")
-    edges = labelled.join(mixed.select("bucket", "first"), "bucket").select(F.col("rep").alias("a"), F.col("first").alias("b"), "component", "n_shingles")
-    edges = cut(edges, "mixed")
+    edges = hot.join(labelled, mixed.select("bucket", "first"), ["key"])
+    edges = cut(edges.select(F.col("rep").alias("a"), F.col("first").alias("b"), "key", "component", "n_shingles"), "mixed")
     if edges.isEmpty():
         return None
     clusters = components(edges.select("a", "b"), "clusters")
-    nodes = edges.select(F.col("a").alias("node"), F.col("component").alias("linked"), "n_shingles").distinct()
-    nodes = cut(nodes.join(clusters, "node").select("node", "linked", "n_shingles", F.col("component").alias("cluster")), "nodes")
-    blocks = nodes.groupBy("cluster").agg(F.ceil(F.sum("n_shingles") / F.lit(block_hashes)).cast("int").alias("blocks"))
-    placed = nodes.join(blocks, "cluster").withColumn("block", F.pmod(F.xxhash64("node"), F.col("blocks")).cast("int"))
+    nodes = edges.select(F.col("a").alias("node"), "key", F.col("component").alias("linked"), "n_shingles").distinct()
+    nodes = cut(nodes.join(clusters, "node").select("node", "key", "linked", "n_shingles", F.col("component").alias("cluster")), "nodes")
+    count = F.greatest(F.ceil(F.sum("n_shingles") / F.lit(block_hashes)), F.ceil(F.count("*") / F.lit(block_rows))).cast("int")
+    blocks = nodes.groupBy("cluster").agg(count.alias("blocks"))
+    placed = hot_keys(nodes, ["cluster"]).join(nodes, blocks, ["key"]).withColumn("block", F.pmod(F.xxhash64("key"), F.col("blocks")).cast("int"))
     # the cell (i, j) holds blocks i and j: every two members meet in one cell at least
     cells = placed.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
-    cells = cells.select("cluster", F.least("block", "other").alias("i"), F.greatest("block", "other").alias("j"), "node", "linked")
-    cells = cells.join(sets.withColumnRenamed("doc_id", "node"), "node")
+    cells = cells.select("cluster", F.least("block", "other").alias("i"), F.greatest("block", "other").alias("j"), "node", "linked", "key")
+    cells = cells.join(sets, "key")
 
     def compare(pdf):
         import pandas as pd
@@ -257,56 +308,84 @@ def _rest_of_clusters(members: DataFrame, comps: DataFrame, sets: DataFrame, per
         found = _spanning(pdf["node"].to_numpy(), pdf["linked"].to_numpy(), [np.frombuffer(s, np.uint64) for s in pdf["set"]], percent)
         return pd.DataFrame(found, columns=["a", "b"], dtype="int64")
 
-    return cells.groupBy("cluster", "i", "j").applyInPandas(compare, "a long, b long")
+    return cells.select("cluster", "i", "j", "node", "linked", "set").groupBy("cluster", "i", "j").applyInPandas(compare, "a long, b long")
+
+
+def _several_texts(named: DataFrame, classes: DataFrame) -> DataFrame | None:
+    """Links (a, b) from an id on different texts to the least ids of their classes; None if no id is."""
+    several = named.groupBy("doc_id").agg(F.min(F.xxhash64("key")).alias("lo"), F.max(F.xxhash64("key")).alias("hi")).where("lo <> hi").select("doc_id")
+    several = cut(several, "several")
+    if several.isEmpty():
+        return None
+    versions = named.select("doc_id", "key").join(small(several, 1_000_000), "doc_id", "left_semi").distinct()
+    return versions.join(classes.select("key", "rep"), "key").select(F.col("rep").alias("a"), F.col("doc_id").alias("b"))
 
 
 def near_duplicates(
     docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", width: int = 5, percent: int = 85,
-    bands: int = 32, rows: int = 6, broadcast_ids: int = 1_000_000, block_hashes: int = 1_000_000,
+    bands: int = 32, rows: int = 6, broadcast_ids: int = 1_000_000, block_hashes: int = 1_000_000, block_rows: int = 1000,
 ) -> DataFrame:
     """id, n_shingles, component_id, kept: one row per row of ``docs``.
 
     Linked are documents whose sets have ``100 * intersection >= percent * union``; ``component_id`` is the least
     id reachable.  ``broadcast_ids``: up to so many candidate ids (8 bytes each) are broadcast, more are joined by shuffle.
+    ``block_hashes`` and ``block_rows`` bound half of what one task of the exact comparison holds.
     """
     signed = cut(sign(docs, id_col, text_col, width, bands, rows), "signed")
-    classes = signed.where("n_shingles > 0 and doc_id is not null").groupBy("key").agg(F.min("doc_id").alias("rep"))
-    reps = signed.join(classes.withColumnRenamed("rep", "doc_id"), ["key", "doc_id"], "left_semi")
-    reps = reps.dropDuplicates(["doc_id"]).select(F.col("doc_id").alias("rep"), "n_shingles", "buckets")
-    entries = reps.select("rep", "n_shingles", F.explode("buckets").alias("bucket"))
-    full = entries.groupBy("bucket").agg(F.count("*").alias("n")).where("n > 1")
-    members = cut(entries.join(full, "bucket"), "members")
-    company = members.groupBy("rep").agg(F.sum("n").alias("company"))
-    ranked = members.select("bucket", "rep", "n_shingles").join(company, "rep")
-    centre = ranked.groupBy("bucket").agg(F.max(F.struct("company", (-F.col("rep")).alias("r"), F.col("n_shingles").alias("size"))).alias("c"))
-    centre = centre.select("bucket", (-F.col("c.r")).alias("centre"), F.col("c.size").alias("size"))
-    star = members.join(centre, "bucket").where("rep <> centre").where(
+    named = signed.where("n_shingles > 0 and doc_id is not null")
+    # equal sets have equal buckets, so any row's will do; exact copies meet map-side
+    classes = named.groupBy("key").agg(F.min("doc_id").alias("rep"), F.count("*").alias("n"), F.first("n_shingles").alias("n_shingles"), F.first("buckets").alias("buckets"))
+    classes = cut(classes, "classes")
+    entries = classes.select("key", "rep", "n_shingles", F.explode("buckets").alias("bucket"))
+    full = cut(entries.groupBy("bucket").agg(F.count("*").alias("n")).where("n > 1"), "full")
+    hot = HotKeys(full, ["bucket"], bands * classes.count())
+    members = cut(hot.join(entries, full, ["key"]), "members")
+    company = members.groupBy("key").agg(F.sum("n").alias("company"))
+    ranked = members.select("bucket", "key", "rep", "n_shingles").join(company, "key")
+    centre = ranked.groupBy("bucket").agg(F.max(F.struct("company", "key", "rep", "n_shingles")).alias("c"))
+    centre = centre.select("bucket", F.col("c.key").alias("key_a"), F.col("c.rep").alias("a"), F.col("c.n_shingles").alias("size"))
+    star = hot.join(members, centre, ["key"]).where("key <> key_a").where(
         F.lit(100) * F.least("n_shingles", "size") >= F.lit(percent) * F.greatest("n_shingles", "size")
     )
-    pairs = cut(star.select(F.col("centre").alias("a"), F.col("rep").alias("b")).distinct(), "pairs")
-    wanted = cut(members.where("n > 2").select("rep").union(pairs.select("a")).union(pairs.select("b")).distinct().select(F.col("rep").alias("doc_id")), "wanted")
+    pairs = cut(star.select("key_a", "a", F.col("key").alias("key_b"), F.col("rep").alias("b")).distinct(), "pairs")
+    wanted = members.where("n > 2").select("rep").union(pairs.select("a")).union(pairs.select("b")).distinct()
+    wanted = cut(wanted.select(F.col("rep").alias("doc_id")), "wanted")
     source = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text"))
     chosen = source.join(small(wanted, broadcast_ids), "doc_id", "left_semi")
-    sets = cut(_sets(chosen, "doc_id", "text", width).dropDuplicates(["doc_id"]), "sets")
-    links = cut(confirm(pairs, sets, percent), "links")
+    sets = cut(_sets(chosen.select("doc_id", "text"), width).dropDuplicates(["key"]), "sets")
+    links = confirm(pairs, sets, percent)
+    versions = _several_texts(named, classes)
+    links = cut(links if versions is None else links.union(versions), "links")
     comps = components(links)
-    more = _rest_of_clusters(members, comps, sets, percent, block_hashes)
+    more = _rest_of_clusters(members, hot, comps, sets, percent, block_hashes, block_rows)
     if more is not None:
         more = cut(more, "more")
         if not more.isEmpty():
             comps = components(links.union(more))
-    named = classes.join(comps.withColumnRenamed("node", "rep"), "rep", "left").select("key", F.coalesce("component", "rep").alias("found"))
-    out = signed.join(named, "key", "left")
+    found = classes.select("key", "rep", "n").join(comps.withColumnRenamed("node", "rep"), "rep", "left")
+    found = found.where("n > 1 or component is not null").select("key", F.coalesce("component", "rep").alias("found"))
+    out = HotKeys(classes.select("key", "n"), ["key"], signed.count()).join(signed.select("doc_id", "n_shingles", "key"), found, ["doc_id"], "left")
     component = F.coalesce("found", "doc_id")
     out = out.select("doc_id", "n_shingles", component.alias("component_id"), F.coalesce(F.col("doc_id") == component, F.lit(False)).alias("kept"))
     return out.withColumnRenamed("doc_id", id_col)
 
 
 def keep_one(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", **options) -> DataFrame:
-    """``docs`` without the rows of all but one document of each group; columns as given.
+    """``docs`` with one row of each group: of the document of least id, and of its repeated rows the one of least hash.
 
     Rows without an id are kept: no id tells them from another document's.
     """
-    found = near_duplicates(docs, id_col, text_col, **options).where("not kept").where(F.col(id_col).isNotNull())
-    gone = cut(found.select(F.col(id_col).alias("_gone")).distinct(), "gone")
-    return docs.join(small(gone, 1_000_000), docs[id_col].cast("long") == gone["_gone"], "left_anti")
+    found = near_duplicates(docs, id_col, text_col, **options).where(F.col(id_col).isNotNull())
+    found = cut(found.select(F.col(id_col).alias("_id"), "kept"), "found")
+    gone = cut(found.where("not kept").select("_id").distinct(), "gone")
+    own = docs[id_col].cast("long")
+    kept = docs.join(small(gone, 1_000_000), own == gone["_id"], "left_anti")
+    again = cut(found.where("kept").groupBy("_id").count().where("count > 1").select("_id"), "again")
+    if again.isEmpty():
+        return kept
+    hashed = [f.name for f in docs.schema.fields if "map<" not in f.dataType.simpleString()]
+    ids = small(again, 1_000_000)
+    copies = kept.join(ids, own == again["_id"], "left_semi").withColumn("_row", F.xxhash64(*hashed))
+    least = cut(copies.groupBy(F.col(id_col).cast("long").alias("_id")).agg(F.min("_row").alias("_least")), "least")
+    one = copies.join(small(least, 1_000_000), (F.col(id_col).cast("long") == F.col("_id")) & (F.col("_row") == F.col("_least")), "left_semi")
+    return kept.join(ids, own == again["_id"], "left_anti").union(one.drop("_row").dropDuplicates([id_col]))
