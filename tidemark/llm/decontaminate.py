@@ -7,21 +7,31 @@ window around it is verified with Myers' algorithm (one machine word of any leng
 The rate's edits are counted over the whole item, so the search is exact: it finds every passage within k edits.
 
 Items come in blocks of ``block_chars``; each block is broadcast (a bounded size) and is one pass over the
-documents.  Words are runs of word characters, lower-cased, so case, punctuation and spacing never count.
-Items of under ``min_words`` words prove nothing and are skipped, as are null items; null and empty documents match
-nothing; items with the same text are reported each; repeated rows are reported each.  Other columns are ignored.
+documents; with several blocks each pass is stored and its broadcast let go before the next one.  A worker process builds a
+block's automaton once and keeps it from task to task.  Words are runs of word characters, lower-cased, so case,
+punctuation and spacing never count; in scripts written without spaces each character is a word.
+
+Items of any length are searched: a short one has a budget of 0 and must stand in the text word for word.  Null items and
+items without a word match nothing, as do null and empty documents; null ids stay null.  Items with the same text are reported
+each; repeated rows are reported each; of several passages that hold an item the least distance counts.  Very long texts are
+one run through the automaton, in time linear in their length and their hits.  Other columns are ignored.
 """
 
 from __future__ import annotations
 
 import re
+import uuid
 from collections.abc import Iterator
 
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-_words = re.compile(r"\w+").findall
+from .common import cut
+
+#: Thai to Myanmar, kana, Han: scripts without spaces between words.
+_UNSPACED = "\u0e00-\u0eff\u1000-\u109f\u1780-\u17ff\u3040-\u30ff\u3400-\u4dbf\u4e00-\u9fff\uf900-\ufaff\U00020000-\U0003ffff"
+_words = re.compile(rf"[^\W{_UNSPACED}]+|[{_UNSPACED}]").findall
 
 
 def pieces(n: int, k: int) -> list[tuple[int, int]]:
@@ -53,14 +63,14 @@ def myers(masks: dict, n: int, window: list) -> int:
 class Matcher:
     """Items of one block, ready for many texts."""
 
-    def __init__(self, items: list[tuple[int, str]], rate: float, min_words: int):
+    def __init__(self, items: list[tuple[int, str]], rate: float):
         import ahocorasick
 
         self.items, places = [], {}
         for item_id, text in items:
             words = _words(text.lower())
             n = len(words)
-            if n < min_words:
+            if not n:
                 continue
             k, masks = int(rate * n), {}
             for i, w in enumerate(words):
@@ -103,32 +113,47 @@ class Matcher:
         return found
 
 
-def _blocks(benchmark: DataFrame, id_col: str, text_col: str, block_chars: int) -> Iterator[list[tuple[int, str]]]:
-    """Items a block at a time: the driver holds one block."""
-    block, held = [], 0
+#: The matcher that a worker process holds: its block's name, and the matcher.
+_held: tuple[str, Matcher] | None = None
+
+
+def worker_matcher(name: str, items, rate: float) -> Matcher:
+    """This process's matcher of the block, built by its first task and found again by the others."""
+    global _held
+    if _held is None or _held[0] != name:
+        _held = None
+        _held = (name, Matcher(items.value, rate))
+    return _held[1]
+
+
+def _blocks(benchmark: DataFrame, id_col: str, text_col: str, block_chars: int) -> Iterator[tuple[list[tuple[int, str]], bool]]:
+    """Items a block at a time, and whether it is the last: the driver holds two blocks at most."""
+    block, held, full = [], 0, None
     for r in benchmark.where(F.col(text_col).isNotNull()).select(F.col(id_col).cast("long"), text_col).toLocalIterator():
+        if full:
+            yield full, False
+            full = None
         block.append((r[0], r[1]))
         held += len(r[1])
         if held >= block_chars:
-            yield block
-            block, held = [], 0
-    if block:
-        yield block
+            full, block, held = block, [], 0
+    if full or block:
+        yield full or block, True
 
 
 def find_leaks(
     docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id", text_col: str = "text", item_col: str = "item_id", item_text: str = "text",
-    rate: float = 0.15, min_words: int = 8, block_chars: int = 8_000_000,
+    rate: float = 0.15, block_chars: int = 8_000_000,
 ) -> DataFrame:
     """id, item_id, distance (in words): one row for each document row and item that it holds."""
     spark, out = docs.sparkSession, None
     kind = docs.schema[id_col].dataType.simpleString()
     schema = f"id {kind}, item_id long, distance long"
-    for block in _blocks(benchmark, item_col, item_text, block_chars):
-        items = spark.sparkContext.broadcast(block)
+    for block, last in _blocks(benchmark, item_col, item_text, block_chars):
+        items, name = spark.sparkContext.broadcast(block), uuid.uuid4().hex
 
-        def run(batches: Iterator[pa.RecordBatch], items=items) -> Iterator[pa.RecordBatch]:
-            matcher = Matcher(items.value, rate, min_words)
+        def run(batches: Iterator[pa.RecordBatch], items=items, name=name) -> Iterator[pa.RecordBatch]:
+            matcher = worker_matcher(name, items, rate)
             for b in batches:
                 hits = [(i, *m) for i, t in enumerate(b.column(1)) for m in matcher.match(t.as_py())]
                 rows, ids, distances = ([h[k] for h in hits] for k in range(3))
@@ -137,6 +162,9 @@ def find_leaks(
                 )
 
         found = docs.select(id_col, text_col).mapInArrow(run, schema)
+        if not last:
+            found = cut(found, "leaks")
+            items.destroy()
         out = found if out is None else out.union(found)
     out = spark.createDataFrame([], schema) if out is None else out
     return out.withColumnRenamed("id", id_col)
@@ -144,18 +172,21 @@ def find_leaks(
 
 def drop_leaks(
     docs: DataFrame, benchmark: DataFrame, text_col: str = "text", item_col: str = "item_id", item_text: str = "text",
-    rate: float = 0.15, min_words: int = 8, block_chars: int = 8_000_000,
+    rate: float = 0.15, block_chars: int = 8_000_000,
 ) -> DataFrame:
     """``docs`` without the rows that hold an item, by maps alone; columns as given."""
     spark = docs.sparkSession
     at = docs.columns.index(text_col)
-    for block in _blocks(benchmark, item_col, item_text, block_chars):
-        items = spark.sparkContext.broadcast(block)
+    for block, last in _blocks(benchmark, item_col, item_text, block_chars):
+        items, name = spark.sparkContext.broadcast(block), uuid.uuid4().hex
 
-        def run(batches: Iterator[pa.RecordBatch], items=items) -> Iterator[pa.RecordBatch]:
-            matcher = Matcher(items.value, rate, min_words)
+        def run(batches: Iterator[pa.RecordBatch], items=items, name=name) -> Iterator[pa.RecordBatch]:
+            matcher = worker_matcher(name, items, rate)
             for b in batches:
                 yield b.filter(pa.array([not matcher.match(t.as_py()) for t in b.column(at)], pa.bool_()))
 
         docs = docs.mapInArrow(run, docs.schema)
+        if not last:
+            docs = cut(docs, "clean")
+            items.destroy()
     return docs
