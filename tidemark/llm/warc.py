@@ -2,9 +2,10 @@
 
 Writing.  Each page is a ``response`` record; of pages with equal payloads of at least ``min_revisit_bytes`` only the
 one with the largest id is, the others are ``revisit`` records that refer to it and hold no payload.  A block longer
-than ``segment_bytes`` goes on in ``continuation`` records.  Records go through Spark's text sink into the
-shared folder, gzip-compressed, so any store that Spark writes will do; cuts fall between characters, which keeps
-every file valid UTF-8 and every byte of the payload as it was.
+than ``segment_bytes`` goes on in ``continuation`` records.  Every file begins with a ``warcinfo`` record, and every record is a
+gzip member of its own.  Records go through Spark's text sink into the shared folder, so any store that Spark writes will
+do: a member ends with the top byte of its length, which is 0 below 16 MB, and that byte is the sink's line separator.
+Files are cut by their number of records, each of bounded size, so no file outgrows ``file_bytes`` but for its urls.
 
 Reading.  Each file is parsed record by record by Content-Length (never by searching for a marker, which a payload may
 hold).  Records that are whole are decoded where they were read; the segments of others are grouped by origin
@@ -13,7 +14,8 @@ segments, no more.  A group with a missing or doubled segment or a wrong total h
 
 Null or empty html is an empty payload; a null url is an empty target.  Repeated rows are records of their own (a copy
 number in an extension header keeps their segments apart) and of two rows with the largest id both are responses.  A null
-id stays null, never is referred to, and revisits the largest id of its payload if there is one.
+id stays null, never is referred to, and revisits the largest id of its payload if there is one.  A very large page is held
+by one task, in time linear in its size; very many pages of one payload are dealt over tasks.
 """
 
 from __future__ import annotations
@@ -27,23 +29,12 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import cut, scratch, small
-
-
-def _back(data: bytes, at: int) -> int:
-    """The last place not after ``at`` where a character begins."""
-    while at < len(data) and data[at] & 0xC0 == 0x80:
-        at -= 1
-    return at
+from .common import HotKeys, cut, scratch, small
 
 
 def _spans(data: bytes, most: int) -> Iterator[bytes]:
-    """Runs of ``data`` of at most ``most`` bytes (4 or more), cut between characters."""
-    at = 0
-    while at < len(data):
-        end = _back(data, min(len(data), at + most))
-        yield data[at:end]
-        at = end
+    """Runs of ``data`` of at most ``most`` bytes."""
+    return (data[k : k + most] for k in range(0, len(data), most))
 
 
 def chunked(payload: bytes, chunk_bytes: int) -> bytes:
@@ -65,13 +56,21 @@ def unchunked(body: bytes) -> bytes:
         at = end + 4 + n
 
 
-def _record(kind: str, record_id: str, block: bytes, *fields: str) -> str:
+def _record(kind: str, record_id: str, block: bytes, *fields: str) -> bytes:
     head = ["WARC/1.1", f"WARC-Type: {kind}", f"WARC-Record-ID: {record_id}", "WARC-Date: 2024-01-01T00:00:00Z", *fields]
-    # the text sink ends each record with one LF: the last of its two CRLFs
-    return "\r\n".join([*head, f"Content-Length: {len(block)}", "", ""]) + block.decode() + "\r\n\r"
+    return "\r\n".join([*head, f"Content-Length: {len(block)}", "", ""]).encode() + block + b"\r\n\r\n"
+
+
+def member(record: bytes) -> bytes:
+    """The record as a gzip member (beyond 8 MB several), without the last byte, which is 0."""
+    parts = []
+    for span in _spans(record, 1 << 23):
+        packer = zlib.compressobj(1, zlib.DEFLATED, 31)
+        parts.append(packer.compress(span) + packer.flush())
+    return b"".join(parts)[:-1]
 
 
-def page_records(page: tuple, copy: str, segment_bytes: int, chunk_bytes: int) -> Iterator[str]:
+def page_records(page: tuple, copy: str, segment_bytes: int, chunk_bytes: int) -> Iterator[bytes]:
     """The records of one (id, url, payload, digest, refers to)."""
     page_id, url, payload, digest, refers_to = page
     own = f"<urn:page:{'' if page_id is None else page_id}>"
@@ -86,9 +85,9 @@ def page_records(page: tuple, copy: str, segment_bytes: int, chunk_bytes: int) -
     if len(block) <= segment_bytes:
         yield _record("response", own, block, *fields)
         return
-    segments = list(_spans(block, segment_bytes))
-    for k, s in enumerate(segments, 1):
-        more = [f"WARC-Segment-Number: {k}", *([f"WARC-Segment-Total-Length: {len(block)}"] if k == len(segments) else [])]
+    count = -(-len(block) // segment_bytes)
+    for k, s in enumerate(_spans(block, segment_bytes), 1):
+        more = [f"WARC-Segment-Number: {k}", *([f"WARC-Segment-Total-Length: {len(block)}"] if k == count else [])]
         if k == 1:
             yield _record("response", own, s, *fields, *more)
         else:
@@ -97,34 +96,43 @@ def page_records(page: tuple, copy: str, segment_bytes: int, chunk_bytes: int) -
 
 def write_warc(
     pages: DataFrame, path: str, id_col: str = "page_id", url_col: str = "url", html_col: str = "html", min_revisit_bytes: int = 1000,
-    segment_bytes: int = 16_384, chunk_bytes: int = 4096, file_bytes: int = 16_000_000,
+    segment_bytes: int = 16_384, chunk_bytes: int = 4096, file_bytes: int = 64_000_000,
 ) -> None:
-    """Write ``pages`` as WARC files of about ``file_bytes`` (before compression) under ``path``."""
+    """Write ``pages`` as WARC files of at most about ``file_bytes`` (before compression) under ``path``."""
     html = F.coalesce(html_col, F.lit(""))
     rows = pages.select(F.col(id_col).cast("long").alias("id"), F.col(url_col).alias("url"), html.alias("html"))
-    rows = rows.withColumn("digest", F.sha1("html")).withColumn("n", F.octet_length("html").cast("long"))
-    found = rows.where(F.col("n") >= min_revisit_bytes).groupBy("digest", "n").agg(F.count("*").alias("rows"), F.max("id").alias("of")).where("rows > 1")
-    rows = rows.join(small(found.select("digest", "n", "of"), 200_000), ["digest", "n"], "left")
+    rows = rows.withColumn("digest", F.sha1("html")).withColumn("bytes", F.octet_length("html").cast("long"))
+    found = rows.where(F.col("bytes") >= min_revisit_bytes).groupBy("digest", "bytes").agg(F.count("*").alias("n"), F.max("id").alias("of")).where("n > 1")
+    found = cut(found, "digests")
+    if found.limit(200_001).count() <= 200_000:
+        rows = rows.join(F.broadcast(found.drop("n")), ["digest", "bytes"], "left")
+    else:
+        rows = HotKeys(found.drop("of"), ["digest", "bytes"], pages.count()).join(rows, found.drop("n"), ["id", "url"], "left")
     rows = rows.withColumn("refers", F.when(F.col("of").isNotNull() & ~F.col("id").eqNullSafe(F.col("of")), F.col("of")))
+    per_file = max(2, file_bytes // (segment_bytes + 1000))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        part, k = TaskContext.get().partitionId(), 0
+        part, k, written = TaskContext.get().partitionId(), 0, 0
         for b in batches:
             out, held = [], 0
             for i in range(b.num_rows):
                 page_id, url, text, digest, refers = (c[i].as_py() for c in b.columns)
                 k += 1
-                out += page_records((page_id, url, text.encode(), digest, refers), f"{part}-{k}", segment_bytes, chunk_bytes)
-                held += len(text)
-                if held > 4_000_000:
-                    yield pa.RecordBatch.from_arrays([pa.array(out, pa.string())], names=["value"])
-                    out, held = [], 0
-            yield pa.RecordBatch.from_arrays([pa.array(out, pa.string())], names=["value"])
-
-    mean = pages.select(F.avg(F.octet_length(html))).first()[0] or 1
-    per_file = max(1, int(file_bytes / (mean + 500)))
-    out = rows.select("id", "url", "html", "digest", "refers").mapInArrow(run, "value string")
-    out.write.option("compression", "gzip").option("zlib.compress.level", "BEST_SPEED").option("maxRecordsPerFile", per_file).text(path)
+                for record in page_records((page_id, url, text.encode(), digest, refers), f"{part}-{k}", segment_bytes, chunk_bytes):
+                    if written % per_file == 0:  # the sink begins a file here
+                        info = b"software: tidemark\r\nformat: WARC File Format 1.1\r\n"
+                        out.append(member(_record("warcinfo", f"<urn:info:{part}-{written}>", info, "Content-Type: application/warc-fields")))
+                        written += 1
+                    out.append(member(record))
+                    written += 1
+                    held += len(out[-1])
+                    if held > 2_000_000:
+                        yield pa.RecordBatch.from_arrays([pa.array(out, pa.binary())], names=["value"])
+                        out, held = [], 0
+            yield pa.RecordBatch.from_arrays([pa.array(out, pa.binary())], names=["value"])
+
+    out = rows.select("id", "url", "html", "digest", "refers").mapInArrow(run, "value binary").select(F.col("value").cast("string").alias("value"))
+    out.write.option("compression", "none").option("lineSep", "\0").option("maxRecordsPerFile", per_file).text(path)
 
 
 def parse_warc(data: bytes) -> Iterator[tuple[dict[str, str], bytes]]:
@@ -221,25 +229,30 @@ def read_warc(spark: SparkSession, path: str, payloads: bool = True) -> DataFram
         F.max("url").alias("url"),
         F.max("stated").alias("stated"),
     )
-    numbers = F.transform("parts", lambda p: p["number"])
-    length = F.aggregate("parts", F.lit(0).cast("long"), lambda n, p: n + F.octet_length(p["block"]))
-    good = (numbers == F.sequence(F.lit(1), F.size("parts"))) & (length == F.col("total"))
-    block = F.when(good, F.aggregate("parts", F.lit(b""), lambda d, p: F.concat(d, p["block"])))
-    joined = parts.select("origin", F.lit("response").alias("type"), "url", "stated", F.lit(None).cast("string").alias("refers"), block.alias("block"))
-    return whole.union(joined.mapInArrow(decode, _READ))
+
+    def assemble(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            for i in range(b.num_rows):
+                origin, segments, total, url, stated = (c[i].as_py() for c in b.columns)
+                block = b"".join(p["block"] for p in segments)
+                good = [p["number"] for p in segments] == list(range(1, len(segments) + 1)) and len(block) == total
+                yield _decoded([(origin, "response", url, stated, None, block if good else None)], payloads)
+
+    return whole.union(parts.select("origin", "parts", "total", "url", "stated").mapInArrow(assemble, _READ))
 
 
 def round_trip(pages: DataFrame, **options) -> DataFrame:
     """Write ``pages`` to the shared folder and read them back: page_id, payload_bytes, payload_digest, record_type, refers_to.
 
     What is returned comes from the archives alone; a revisit's length is that of the response it refers to.
+    A record that is not intact has no length and no digest.
     """
     spark = pages.sparkSession
     path = scratch(spark, "warc")
     write_warc(pages, path, **options)
     number = lambda c: F.regexp_extract(c, r"^<urn:page:(-?\d+)>$", 1)
-    rows = read_warc(spark, path, payloads=False).where("intact").select(
-        F.nullif(number("origin"), F.lit("")).cast("long").alias("page_id"), "payload_bytes", F.col("digest").alias("payload_digest"),
+    rows = read_warc(spark, path, payloads=False).select(
+        F.nullif(number("origin"), F.lit("")).cast("long").alias("page_id"), "payload_bytes", F.when(F.col("intact"), F.col("digest")).alias("payload_digest"),
         F.col("type").alias("record_type"), F.nullif(number("refers"), F.lit("")).cast("long").alias("refers_to"),
     )
     rows = cut(rows, "records")
