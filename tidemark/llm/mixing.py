@@ -6,13 +6,17 @@ phase moves the probabilities of three documents at a time along the null space
 documents taken, one for their words), up or down with the chances that keep every probability's mean, until one
 of the three is 0 or 1.  So both totals stay exact while at most two documents of a block stay undecided.
 
-Blocks are groups of about ``block_rows`` documents of one source, dealt by a hash of the row, so a source with a third
-of all rows is as many blocks as it needs.  The undecided of all blocks are dealt into fewer blocks, again and again; the
+Blocks are groups of about ``block_rows`` documents of one source, dealt by a hash of the row and of its number among the rows
+equal to it (equal rows are counted map-side, not gathered), so a source with a third of all rows, or a row repeated a
+million times, is as many blocks as it needs.  The undecided of all blocks are dealt into fewer blocks, again and again; the
 last two of a source land where its words come nearest its target.  Draws come from a generator seeded by
 source, block and level over sorted rows: reruns agree, whatever the partitions.
 
 Null or empty texts have size 0 and are taken 0 times.  A null source is a source of its own, last in order.  Repeated rows
-are documents of their own, one result row each.  Ties in size are moved in pairs.  Null ids stay null.  Empty input: empty result.
+are documents of their own, one result row each.  Ties in size are moved in pairs.  Null ids stay null.  Very long texts are
+counted by one regular expression, in time linear in their length.  Empty input: empty result.
+
+Targets are worked out in one task over one row for each source, so sources may number in the millions, not more.
 """
 
 from __future__ import annotations
@@ -124,15 +128,20 @@ def mix_sources(
     targets = cut(source_targets(sized, weights, share, cap), "targets")
     per = small(targets.withColumnRenamed("source", "_source"), 100_000)
     rows = sized.join(per, sized["source"].eqNullSafe(F.col("_source")), "left").drop("_source")
+    # equal rows get numbers 0, 1, ... by their count, a thousand to a row first, so that no task holds them all
+    equal = [c for c in rows.columns]
+    rows = rows.groupBy(*equal).agg(F.count("*").alias("_n"))
+    rows = rows.withColumn("_k", F.explode(F.sequence(F.lit(0), F.floor((F.col("_n") - 1) / 1000))))
+    rows = rows.withColumn("copy", F.explode(F.sequence(F.col("_k") * 1000, F.least(F.col("_k") * 1000 + 999, F.col("_n") - 1)))).drop("_n", "_k")
     rate = F.when(F.col("source_size") > 0, F.col("target") / F.col("source_size")).otherwise(0.0)
     whole = F.floor(rate + _TINY).cast("long")
     rows = rows.withColumn("sure", F.when(F.col("size") > 0, whole).otherwise(0)).withColumn("prob", F.when(F.col("size") > 0, F.greatest(rate - whole, F.lit(0.0))).otherwise(0.0))
-    columns = "id {}, source string, size long, source_size long, rows long, target double, sure long, prob double".format(sized.schema["id"].dataType.simpleString())
-    rows = rows.select("id", "source", "size", "source_size", "rows", "target", "sure", "prob")
+    columns = "id {}, source string, size long, source_size long, rows long, target double, sure long, prob double, copy long".format(sized.schema["id"].dataType.simpleString())
+    rows = rows.select("id", "source", "size", "source_size", "rows", "target", "sure", "prob", "copy")
 
     def flier(level: int):
         def fly(key, pdf):
-            pdf = pdf.sort_values(["id", "size"], kind="stable", ignore_index=True, na_position="last")
+            pdf = pdf.sort_values(["id", "size", "copy"], kind="stable", ignore_index=True, na_position="last")
             seed = zlib.crc32(repr((str(key[0]), int(key[1]), level)).encode())
             before, size = pdf["prob"].to_numpy(), pdf["size"].to_numpy()
             prob = flight(before, size, np.random.default_rng(seed))
@@ -145,7 +154,7 @@ def mix_sources(
     decided, level = None, 0
     blocks = F.greatest(F.ceil(F.col("rows") / block_rows), F.lit(1)).cast("long")
     while True:
-        dealt = rows.withColumn("blocks", blocks).withColumn("block", F.pmod(F.xxhash64(F.lit(level), "id", "size"), "blocks"))
+        dealt = rows.withColumn("blocks", blocks).withColumn("block", F.pmod(F.xxhash64(F.lit(level), "id", "size", "copy"), "blocks"))
         flown = dealt.groupBy("source", "block").applyInPandas(flier(level), columns)
         flown = cut(flown, f"flight{level}")
         done = flown.where("prob <= 0 or prob >= 1")
