@@ -1,24 +1,29 @@
 """Toxicity with noisy-channel deobfuscation.
 
-A token that mixes letters with look-alike characters, repeats a letter three times or more, or is spelled out letter
-by letter is decoded first: each character opens its readings (itself, the letters it stands for, nothing for a
-repetition or a separator, a word break for a separator), and Viterbi finds the reading of least cost under the channel
-and a character trigram model of the corpus.  The restored text is scored by a sparse logistic model over words and
-word beginnings, counted up to ``most`` times a document.
+A token that mixes letters with look-alike characters (of other scripts too), repeats a letter three times or more, or is
+spelled out letter by letter is decoded first: each character opens its readings (itself, the letters it stands for, nothing
+for a repetition or a separator, a word break for a separator), and Viterbi finds the reading of least cost under the channel
+and a character trigram model of the corpus, whatever the token's length; the ``beam`` cheapest states of each
+character go on.  The restored text is scored by a sparse logistic model over words and word beginnings; a restored
+word's n uses in a document weigh 1 + ln(n), in fitting as in scoring.
 
 The trigram model counts every character of every text (a table of 64 ** 3 cells at most, whatever the corpus).  Only the
 logistic model is fitted from a bounded sample (``train_rows`` labelled rows, dealt by a hash of the id); it keeps
-features that at least ``min_docs`` toxic documents hold and that favour them.  Scoring reads whole texts in one map.
+features that at least ``min_docs`` toxic documents hold and that favour them.  Scoring reads whole texts in one map; a
+worker process keeps what it has decoded from task to task.
 
 Null and empty texts get the model's prior.  Repeated rows get equal scores, one result row each.  Null ids keep a null
 id and are not held out; label rows with null or other values are not learned from.  No usable label: every score is 0.5.
-Columns other than id and text are never read.
+Of an id with several texts the least is learned from.  Very long texts and tokens take time linear in their length.  A score
+equal to the threshold is predicted 1; readings of equal cost are settled by the order of the lattice.  Columns other than id and text are never read.
 """
 
 from __future__ import annotations
 
 import math
 import re
+import unicodedata
+import uuid
 from collections import Counter
 from collections.abc import Iterator
 
@@ -30,16 +35,21 @@ from pyspark.sql import functions as F
 from .common import cut
 from .quality_crf import held_out, learning_rows
 
-#: Letters that a character may stand for (fixed values: common look-alikes).
+#: Letters that a character may stand for (fixed values: common look-alikes of digits, signs, Cyrillic and Greek letters).
 LOOKALIKES = {
     "0": "o", "1": "il", "2": "z", "3": "e", "4": "a", "5": "s", "6": "gb", "7": "t", "8": "b", "9": "g",
     "@": "a", "$": "s", "!": "il", "|": "il", "+": "t", "(": "c", "€": "e", "£": "l", "§": "s", "¡": "i",
+    "а": "a", "в": "b", "е": "e", "і": "i", "ј": "j", "к": "k", "м": "m", "н": "h", "о": "o", "р": "p", "с": "c", "т": "t", "у": "y", "х": "x", "ѕ": "s",
+    "α": "a", "ε": "e", "ι": "i", "κ": "k", "ν": "v", "ο": "o", "ρ": "p", "τ": "t", "υ": "u", "χ": "x",
 }
-_SEPARATORS = " .-_*"
+_SEPARATORS = " .-_*,/"
+#: Characters without width, which split no word.
+_INVISIBLE = dict.fromkeys((0x00AD, 0x200B, 0x200C, 0x200D, 0x2060, 0xFEFF))
 _letters = re.compile(r"[^\W\d_]+").findall
-#: Letters spelled out: four or more single characters, one separator between each two.
-_spelled = re.compile(r"(?<![^\W_])[^\W_](?:[ .\-_*][\w@$!|+]){3,}(?![^\W_])")
+#: Letters spelled out: four or more single characters, separators between each two.
+_spelled = re.compile(r"(?<![^\W_])[^\W_](?:[ .\-_*,/]+(?:[^\W_]|[@$!|+])(?![^\W_])){3,}")
 _tripled = re.compile(r"([^\W\d_])\1\1").search
+_latin = re.compile(r"[a-z]").search
 _SIZE = 64
 
 
@@ -82,53 +92,64 @@ def trigrams(docs: DataFrame, text_col: str = "text") -> np.ndarray:
 class Decoder:
     """Readings of noisy tokens under a trigram model."""
 
-    def __init__(self, counts: np.ndarray, longest: int = 60):
+    def __init__(self, counts: np.ndarray, beam: int | None = 16):
         table = counts.reshape(_SIZE, _SIZE, _SIZE) + 0.01
-        self.cost = -np.log(table / table.sum(2, keepdims=True))
-        self.longest = longest
+        self.cost = (-np.log(table / table.sum(2, keepdims=True))).tolist()
+        self.beam = beam
 
-    def _code(self, letter: str) -> int:
-        byte = letter.encode("latin-1", "replace")
-        return int(CODES[byte[0]])
+    def code(self, letter: str) -> int:
+        return int(CODES[letter.encode("latin-1", "replace")[0]])
 
     def readings(self, text: str, i: int) -> list[tuple[str, float]]:
         c = text[i]
         if c in _SEPARATORS:
             return [("", 0.1), (" ", 2.5)]
-        out = [(c, 0.1 if c.isalpha() else 6.0)] if c.isalpha() else []
-        out += [(x, 1.0) for x in LOOKALIKES.get(c, "")] or ([("", 4.0)] if not c.isalpha() else [])
+        stands_for = LOOKALIKES.get(c, "")
+        out = [(c, 3.0 if stands_for else 0.1)] if c.isalpha() else []
+        out += [(x, 1.0) for x in stands_for] or ([("", 4.0)] if not c.isalpha() else [])
         if i and text[i - 1] == c:  # a doubled letter may be meant, a run of three hardly
             out.append(("", 0.2 if c * 3 in text[max(0, i - 2) : i + 2] else 2.5))
         return out
 
-    def decode(self, text: str) -> str:
-        """The most likely reading; texts of over ``longest`` characters are no spelling of a word and stay as they are."""
-        if len(text) > self.longest:
-            return text
-        states: dict[tuple[int, int], tuple[float, str]] = {(0, 0): (0.0, "")}
+    def best(self, text: str) -> tuple[float, str]:
+        """Cost and text of the most likely reading."""
+        cost = self.cost
+        states: dict[tuple[int, int], tuple] = {(0, 0): (0.0, None)}
         for i in range(len(text)):
-            nxt: dict[tuple[int, int], tuple[float, str]] = {}
-            for (a, b), (cost, made) in states.items():
-                for letter, channel in self.readings(text, i):
+            nxt: dict[tuple[int, int], tuple] = {}
+            steps = [(letter, channel, self.code(letter) if letter.strip() else 0) for letter, channel in self.readings(text, i)]
+            for (a, b), (spent, back) in states.items():
+                row = cost[a][b]
+                for letter, channel, k in steps:
                     if not letter:
-                        state, total, new = (a, b), cost + channel, made
-                    elif letter == " ":
-                        state, total, new = (0, 0), cost + channel + float(self.cost[a, b, 0]), made + " "
+                        state, total, made = (a, b), spent + channel, back
                     else:
-                        k = self._code(letter)
-                        state, total, new = (b, k) if k else (0, 0), cost + channel + float(self.cost[a, b, k]), made + letter
-                    if state not in nxt or (total, new) < nxt[state]:
-                        nxt[state] = (total, new)
+                        state, total, made = (b, k) if k else (0, 0), spent + channel + row[k], (back, letter)
+                    if state not in nxt or total < nxt[state][0]:
+                        nxt[state] = (total, made)
+            if self.beam and len(nxt) > self.beam:
+                nxt = dict(sorted(nxt.items(), key=lambda x: (x[1][0], x[0]))[: self.beam])
             states = nxt
-        return min((cost + float(self.cost[a, b, 0]), made) for (a, b), (cost, made) in states.items())[1]
+        total, back = min(((spent + cost[a][b][0], back) for (a, b), (spent, back) in states.items()), key=lambda x: x[0])
+        made = []
+        while back:
+            back, letter = back
+            made.append(letter)
+        return total, "".join(reversed(made))
+
+    def decode(self, text: str) -> str:
+        return self.best(text)[1]
 
     def words(self, token: str) -> list[str]:
         """The words of one token without white space, restored."""
+        if not token.isascii():
+            token = unicodedata.normalize("NFKC", token.translate(_INVISIBLE)).lower()
         core = token.rstrip(".,;:?!\"'()[]{}<>#*%&$|~^=/").lstrip(".,;:?\"'()[]{}<>#*%&~^=/")
-        if core.isalpha():
+        noisy = any(c in LOOKALIKES for c in core) and _latin(core)
+        if core.isalpha() and not noisy:
             return self.decode(core).split() if _tripled(core) else [core]
-        if any(c in LOOKALIKES for c in core) and any(c.isalpha() for c in core) and len(core) <= self.longest:
-            return [w for x in _letters(self.decode(core)) for w in [x]]
+        if noisy:
+            return _letters(self.decode(core))
         return [w for x in _letters(core) for w in (self.decode(x).split() if _tripled(x) else [x])]
 
 
@@ -137,43 +158,63 @@ def features(word: str) -> list[str]:
     return ["=" + word, *(word[:k] for k in (4, 5, 6) if len(word) >= k)]
 
 
+def weight(n: int) -> float:
+    """What n uses of a word weigh."""
+    return 1.0 + math.log(n)
+
+
+def restored(text: str | None, words, decode) -> Counter:
+    """Words of the restored text with their counts, as ``words`` (of a token) and ``decode`` (of letters spelled out) give them."""
+    found: Counter = Counter()
+    text = (text or "").lower()
+    for token, n in Counter(text.split()).items():
+        for w in words(token):
+            found[w] += n
+    for m in _spelled.finditer(text):
+        found.update(decode(m[0]))
+    return found
+
+
 class Scorer:
     """A text's sum of weights; each token is worked out once and remembered up to a limit."""
 
-    def __init__(self, decoder: Decoder, weights: dict[str, float], most: int, limit: int = 300_000):
-        self.decoder, self.weights, self.most, self.limit, self.known = decoder, weights, most, limit, {}
+    def __init__(self, decoder: Decoder, weights: dict[str, float], limit: int = 200_000):
+        self.decoder, self.weights, self.limit, self.known = decoder, weights, limit, {}
 
-    def _value(self, words: list[str]) -> float:
+    def value(self, word: str) -> float:
         get = self.weights.get
-        return sum(get(f, 0.0) for w in words for f in features(w))
+        return sum(get(f, 0.0) for f in features(word))
+
+    def words(self, token: str) -> list[str]:
+        """The token's restored words that weigh something."""
+        found = self.known.get(token)
+        if found is None:
+            found = [w for w in self.decoder.words(token) if self.value(w)]
+            if len(token) <= 64:
+                if len(self.known) >= self.limit:
+                    self.known.clear()
+                self.known[token] = found
+        return found
+
+    def decode(self, letters: str) -> list[str]:
+        return [w for w in self.decoder.decode(letters).split() if self.value(w)]
 
     def total(self, text: str | None) -> float:
-        if not text:
-            return 0.0
-        text, out = text.lower(), 0.0
-        if len(self.known) > self.limit:
-            self.known = {}
-        known = self.known
-        for token, n in Counter(text.split()).items():
-            value = known.get(token)
-            if value is None:
-                value = known[token] = self._value(self.decoder.words(token))
-            if value:
-                out += value * min(n, self.most)
-        for m in _spelled.finditer(text):
-            out += self._value(self.decoder.decode(m[0]).split())
-        return out
+        return sum(weight(n) * self.value(w) for w, n in sorted(restored(text, self.words, self.decode).items()))
 
 
-def restored(text: str | None, decoder: Decoder) -> Counter:
-    """Words of the restored text with their counts."""
-    found: Counter = Counter()
-    for token, n in Counter((text or "").lower().split()).items():
-        for w in decoder.words(token):
-            found[w] += n
-    for m in _spelled.finditer((text or "").lower()):
-        found.update(decoder.decode(m[0]).split())
-    return found
+#: The scorer that a worker process holds: its model's name, and the scorer.
+_held: tuple[str, Scorer, float] | None = None
+
+
+def worker_scorer(name: str, sent) -> tuple[Scorer, float]:
+    """This process's scorer of the model and its bias, made by its first task and found again by the others."""
+    global _held
+    if _held is None or _held[0] != name:
+        _held = None
+        m = sent.value
+        _held = (name, Scorer(Decoder(m["counts"]), m["weights"]), m["bias"])
+    return _held[1], _held[2]
 
 
 def _fit(x: list[tuple[np.ndarray, np.ndarray]], y: np.ndarray, width: int, steps: int = 600, l1: float = 2e-4) -> tuple[np.ndarray, float]:
@@ -197,7 +238,7 @@ def _fit(x: list[tuple[np.ndarray, np.ndarray]], y: np.ndarray, width: int, step
 
 
 def train(
-    docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text", label_col: str = "toxic", train_rows: int = 8000, min_docs: int = 3, most: int = 3
+    docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text", label_col: str = "toxic", train_rows: int = 8000, min_docs: int = 3
 ) -> dict:
     """The trigram counts of all texts, and the weights fitted on the sample."""
     counts = trigrams(docs, text_col)
@@ -208,13 +249,13 @@ def train(
         decoder, by = Decoder(sent.value), (Counter(), Counter())
         for b in batches:
             for y, t in zip(b.column(0).to_pylist(), b.column(1), strict=True):
-                by[y].update({f for w in restored(t.as_py(), decoder) for f in features(w)})
+                by[y].update({f for w in restored(t.as_py(), decoder.words, lambda x: decoder.decode(x).split()) for f in features(w)})
         names = list(by[0].keys() | by[1].keys())
         yield pa.RecordBatch.from_arrays([pa.array(names, pa.string()), *(pa.array([c[f] for f in names], pa.int64()) for c in by)], names=["f", "n0", "n1"])
 
     sizes = dict(rows.groupBy("label").count().collect())
     if len(sizes) < 2:
-        return {"counts": counts, "weights": {}, "bias": 0.0, "most": most}
+        return {"counts": counts, "weights": {}, "bias": 0.0}
     found = rows.mapInArrow(count, "f string, n0 long, n1 long").groupBy("f").agg(F.sum("n0").alias("n0"), F.sum("n1").alias("n1"))
     lift = F.col("n1") * sizes[0] > 2 * F.col("n0") * sizes[1]
     names = sorted(r[0] for r in found.where((F.col("n1") >= min_docs) & lift).select("f").collect())
@@ -225,30 +266,29 @@ def train(
         for b in batches:
             at, value = [], []
             for t in b.column(1):
-                have: Counter = Counter()
-                for w, n in restored(t.as_py(), decoder).items():
+                have: dict[int, float] = {}
+                for w, n in sorted(restored(t.as_py(), decoder.words, lambda x: decoder.decode(x).split()).items()):
                     for f in features(w):
                         if f in place:
-                            have[place[f]] += min(n, most)
+                            have[place[f]] = have.get(place[f], 0.0) + weight(n)
                 at.append(sorted(have))
                 value.append([have[k] for k in at[-1]])
-            yield pa.RecordBatch.from_arrays([b.column(0), pa.array(at, pa.list_(pa.int64())), pa.array(value, pa.list_(pa.int64()))], names=["label", "at", "n"])
+            yield pa.RecordBatch.from_arrays([b.column(0), pa.array(at, pa.list_(pa.int64())), pa.array(value, pa.list_(pa.float64()))], names=["label", "at", "n"])
 
-    data = sorted(map(tuple, rows.mapInArrow(vectors, "label int, at array<long>, n array<long>").collect()))
+    data = sorted(map(tuple, rows.mapInArrow(vectors, "label int, at array<long>, n array<double>").collect()))
     w, bias = _fit([(np.array(a, int), np.array(n, float)) for _, a, n in data], np.array([r[0] for r in data], float), len(names))
-    return {"counts": counts, "weights": {f: float(w[k]) for f, k in place.items() if w[k]}, "bias": float(bias), "most": most}
+    return {"counts": counts, "weights": {f: float(w[k]) for f, k in place.items() if w[k]}, "bias": float(bias)}
 
 
 def score_toxicity(docs: DataFrame, model: dict, id_col: str = "doc_id", text_col: str = "text", threshold: float = 0.5) -> DataFrame:
     """id, held_out, score, predicted: one row for each row of ``docs``."""
-    sent = docs.sparkSession.sparkContext.broadcast(model)
+    sent, name = docs.sparkSession.sparkContext.broadcast(model), uuid.uuid4().hex
     kind = docs.schema[id_col].dataType.simpleString()
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        m = sent.value
-        scorer = Scorer(Decoder(m["counts"]), m["weights"], m["most"])
+        scorer, bias = worker_scorer(name, sent)
         for b in batches:
-            total = np.array([scorer.total(t.as_py()) for t in b.column(1)]) + m["bias"]
+            total = np.array([scorer.total(t.as_py()) for t in b.column(1)]) + bias
             yield pa.RecordBatch.from_arrays([b.column(0), pa.array(1 / (1 + np.exp(-np.clip(total, -30, 30))), pa.float64())], names=["id", "score"])
 
     out = docs.select(id_col, text_col).mapInArrow(run, f"id {kind}, score double")
