@@ -6,11 +6,14 @@ lines' lengths, goes through a one-variable logistic map to the document's quali
 
 Only document labels exist, so a line first has its document's label; once a first model is fitted, lines of bad
 documents that it calls good are relabelled good (the document's worst line excepted) and the model is fitted again.
-It is fitted on the driver from a bounded sample of labelled rows (``train_rows``, of at most ``train_lines``
-lines each, dealt by a hash of the id).  Scoring reads whole texts, one map over the rows.
-
-Null and empty texts are one empty line.  Repeated rows get equal scores, one result row each.  Null ids keep a null id and
-are not held out; label rows with null or other values are not learned from.  No usable label: every score is 0.5.
+It is fitted on the driver from a bounded sample of labelled rows: in order of a hash of the id, at most
+``train_rows`` rows, and of these each whole document for which ``train_lines`` lines in all leave room.  Scoring reads whole texts, one
+map over the rows, and holds a few numbers for each line of a bounded block of texts.
+
+Null and empty texts are one empty line.  Very long texts are one chain, in time linear in their lines.  Repeated rows get
+equal scores, one result row each; an id labelled several times counts once, if its labels agree, and of its texts the least is
+learned from.  A score equal to the threshold is predicted 1.  Null ids keep a null id and are not held out; label
+rows with null or other values are not learned from.  No usable label: every score is 0.5.
 Columns other than id and text are never read.
 """
 
@@ -23,14 +26,16 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from .common import cut
+
 _SYMBOLS, _DIGITS, _UPPER = b"#*$%&|<>@^~=_+{}[]\\", b"0123456789", bytes(range(65, 91))
 _ENDS = (b".", b"!", b"?", b'"', b":", b";")
 WIDTH = 13
 
 
-def line_features(lines: list[bytes]) -> np.ndarray:
-    """WIDTH features of each line of one document, neighbours not included."""
-    out, seen = [], set()
+def line_features(lines: list[bytes], seen: set[bytes] | None = None) -> np.ndarray:
+    """WIDTH features of each line of one document, neighbours not included; ``seen``: lines before these, added to."""
+    out, seen = [], set() if seen is None else seen
     for line in lines:
         words = line.split()
         n, size = len(words) or 1, len(line) or 1
@@ -151,55 +156,94 @@ def held_out(id_col: Column) -> Column:
 
 
 def learning_rows(docs: DataFrame, labels: DataFrame, label_col: str, id_col: str, text_col: str, rows: int) -> DataFrame:
-    """label, text of at most ``rows`` labelled documents that are not held out, dealt by a hash of the id."""
+    """label, text, rank of at most ``rows`` labelled documents that are not held out, dealt by a hash of the id.
+
+    One row an id: of several texts the least, found map-side first, so an id on very many rows brings one.
+    """
     ids = labels.where(F.col(label_col).isin(0, 1) & ~held_out(F.col(id_col)) & F.col(id_col).isNotNull())
     ids = ids.groupBy(F.col(id_col).alias("_id")).agg(F.min(label_col).cast("int").alias("label"), F.max(label_col).alias("_max")).where("label = _max")
-    ids = ids.orderBy(F.xxhash64("_id"), "_id").limit(rows).select("_id", "label")
+    ids = ids.withColumn("rank", F.xxhash64("_id")).orderBy("rank", "_id").limit(rows).select("_id", "label", "rank")
     texts = docs.select(F.col(id_col).alias("_doc"), F.col(text_col).alias("text"))
-    return texts.join(F.broadcast(ids), F.col("_doc") == F.col("_id")).select("label", "text")
+    found = texts.join(F.broadcast(ids), F.col("_doc") == F.col("_id"))
+    return found.groupBy("_id", "label", "rank").agg(F.min(F.coalesce("text", F.lit(""))).alias("text")).select("label", "text", "rank")
 
 
-def train(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text", label_col: str = "quality", train_rows: int = 6000, train_lines: int = 2000) -> dict:
+def train(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text", label_col: str = "quality", train_rows: int = 6000, train_lines: int = 2_000_000) -> dict:
     rows = learning_rows(docs, labels, label_col, id_col, text_col, train_rows)
+    rows = cut(rows.withColumn("lines", F.length("text") - F.length(F.replace("text", F.lit("\n"))) + 1), "learning")
+    room, over = train_lines, []
+    for rank, lines in rows.select("rank", "lines").orderBy("rank", "lines").collect():  # train_rows rows at most
+        if lines <= room:
+            room -= lines
+        else:
+            over.append(rank)
+    rows = rows.where(~F.col("rank").isin(over)).select("label", "text") if over else rows.select("label", "text")
 
     def features(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
             label, data, length = [], [], []
             for y, t in zip(b.column(0), b.column(1), strict=True):
                 lines = _split(t.as_py())
-                if len(lines) <= train_lines:
-                    label.append(y.as_py())
-                    data.append(line_features(lines).astype(np.float32).tobytes())
-                    length.append(np.array([len(x) + 1 for x in lines], np.float32).tobytes())
+                label.append(y.as_py())
+                data.append(line_features(lines).astype(np.float32).tobytes())
+                length.append(np.array([len(x) + 1 for x in lines], np.float32).tobytes())
             yield pa.RecordBatch.from_arrays([pa.array(label, pa.int32()), pa.array(data, pa.binary()), pa.array(length, pa.binary())], names=["label", "x", "n"])
 
-    found = rows.mapInArrow(features, "label int, x binary, n binary").collect()
+    found = rows.repartition(32).mapInArrow(features, "label int, x binary, n binary").collect()
     found.sort(key=lambda r: (r[0], bytes(r[1]), bytes(r[2])))  # any order of the tasks gives the same model
     return fit([(r[0], np.frombuffer(r[1], np.float32).astype(float).reshape(-1, WIDTH), np.frombuffer(r[2], np.float32).astype(float)) for r in found])
 
 
+def emissions(lines: list[bytes], weights: np.ndarray, most: int = 5000) -> np.ndarray:
+    """Each line's log-odds of good; features are held for ``most`` lines at a time."""
+    own, prev, nxt = weights[:WIDTH], weights[WIDTH : 2 * WIDTH], weights[2 * WIDTH :]
+    score, before, after, seen = [np.empty(len(lines)) for _ in range(3)] + [set()]
+    for k in range(0, len(lines), most):
+        x = line_features(lines[k : k + most], seen)
+        score[k : k + most], before[k : k + most], after[k : k + most] = x @ own, x @ prev, x @ nxt
+    score[1:] += before[:-1]
+    score[:-1] += after[1:]
+    return score
+
+
 def score_texts(texts: list[str | None], model: dict) -> np.ndarray:
+    """The scores of a block of texts."""
     if not texts or not model:
         return np.full(len(texts), 0.5)
-    split = [_split(t) for t in texts]
-    count = np.array([len(s) for s in split])
+    scores, lengths = [], []
+    for t in texts:
+        lines = _split(t)
+        scores.append(emissions(lines, model["weights"]))
+        lengths.append(np.array([len(line) + 1 for line in lines], float))
+    count = np.array([len(s) for s in scores])
     start = np.cumsum(count) - count
-    x = with_neighbours(np.vstack([line_features(s) for s in split]), start, start + count - 1)
-    good = marginals(x @ model["weights"], start, count, model["trans"])[0]
-    length = np.array([len(line) + 1 for s in split for line in s], float)
+    length = np.concatenate(lengths)
+    good = marginals(np.concatenate(scores), start, count, model["trans"])[0]
     mean = np.add.reduceat(good * length, start) / np.add.reduceat(length, start)
     return 1 / (1 + np.exp(-(model["a"] * mean + model["b"])))
 
 
+def _blocks(texts: Iterator[str | None], most: int = 2_000_000, rows: int = 500) -> Iterator[list[str | None]]:
+    """Runs of at most ``rows`` texts and about ``most`` characters."""
+    block, held = [], 0
+    for t in texts:
+        block.append(t)
+        held += len(t or "")
+        if held >= most or len(block) >= rows:
+            yield block
+            block, held = [], 0
+    if block:
+        yield block
+
+
 def _scored(docs: DataFrame, model: dict, text_col: str, extra: str, make) -> DataFrame:
     sent = docs.sparkSession.sparkContext.broadcast(model)
     at = docs.columns.index(text_col)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            texts = b.column(at).to_pylist()
-            scores = np.concatenate([score_texts(texts[k : k + 500], sent.value) for k in range(0, len(texts), 500)] or [np.empty(0)])
-            yield make(b, scores)
+            scores = [score_texts(block, sent.value) for block in _blocks(t.as_py() for t in b.column(at))]
+            yield make(b, np.concatenate(scores or [np.empty(0)]))
 
     return docs.mapInArrow(run, extra)
 
