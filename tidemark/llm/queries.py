@@ -25,22 +25,22 @@ c as (select rid, i, count(*) over (partition by rid, gram) as n from g),
 r as (select rid, count(distinct i + k) as repeated from c cross join (select unnest([0, 1, 2]) as k) where n > 1 group by 1),
 f as (select doc_id, len(ws)::bigint as n_words, length(array_to_string(ws, ''))::bigint as word_chars, length(regexp_replace(t, '[^#*$%&|<>]+', '', 'g'))::bigint as n_symbols,
   (len(ls) - len(list_distinct(ls)))::bigint as n_dup_lines, coalesce(repeated, 0)::bigint as n_repeat_words, len(ls) as n_lines, len(list_distinct(ws)) as kinds,
-  length(regexp_replace(t, '[^\p{Lu}]+', '', 'g')) as upper from w left join r using (rid)),
+  length(regexp_replace(t, '[^\p{Lu}]+', '', 'g')) as upper, len(list_filter(ws, lambda x: regexp_matches(x, '\p{L}'))) as lettered,
+  len(list_filter(ls, lambda x: regexp_matches(x, '^[ \t]*[-*•]'))) as bullets from w left join r using (rid)),
 b as (select *, n_words < 50 or 100 * n_repeat_words > 50 * n_words as base_failed from f)
 select doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, base_failed, not (base_failed or 10 * n_symbols > 3 * n_words or word_chars < 2 * n_words or word_chars > 20 * n_words
-  or (n_dup_lines > 2 and 2 * n_dup_lines > n_lines) or 3 * upper > word_chars or 10 * kinds < n_words) as kept from b
+  or (n_dup_lines > 2 and 2 * n_dup_lines > n_lines) or 3 * upper > word_chars or 10 * kinds < n_words
+  or 10 * lettered < 3 * n_words or (n_lines > 3 and 10 * bullets > 9 * n_lines)) as kept from b
 """
 
 
 def op2_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
-    # OP2_SQL leaves every text above the share whole
-    rows = line_dedup.line_dedup(table(spark, sf_dir, "documents").select("doc_id", "text", "source"), copies_only=False)
+    rows = line_dedup.line_dedup(table(spark, sf_dir, "documents").select("doc_id", "text", "source"))
     return rows.select("doc_id", F.col("_ld_lines").alias("n_lines"), F.col("_ld_removed").alias("n_removed"), "text")
 
 
 OP2_SQL = line_dedup.LINE_DEDUP_SQL.format(docs="documents") + """
-select r.doc_id, coalesce(n.n_lines, 0)::bigint as n_lines, (case when n.n_bad > 0 and 2 * n.words_left >= n.words then n.n_bad else 0 end)::bigint as n_removed,
-  case when n.n_bad > 0 and 2 * n.words_left >= n.words then n.clean else r.text end as text
+select r.doc_id, coalesce(n.n_lines, 0)::bigint as n_lines, coalesce(n.n_bad, 0)::bigint as n_removed, case when n.n_bad > 0 then n.clean else r.text end as text
 from ld_rows r left join ld_new n using (ld_row)
 """
 
@@ -92,5 +92,11 @@ def op5_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
     return url_filter.url_verdicts(table(spark, sf_dir, "pages")).select("page_id", "host", "path", "rule", "verdict")
 
 
-QUERIES = {f.__name__: f for f in (op1_quality_rules, op2_line_dedup, op4_decontaminate, op5_url_filter, op3_token_counts, op6_minhash, op7_warc, op8_mixing, op9_toxicity, op10_quality_crf)}
-SQL: dict[str, str] = {"op1_quality_rules": OP1_SQL, "op2_line_dedup": OP2_SQL, "op6_minhash": OP6_SQL, "op7_warc": warc.ROUND_TRIP_SQL}
+def url_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The part of op5 that SQL can express: host, path and rule of every page."""
+    rows = url_filter.parse(table(spark, sf_dir, "pages"), "page_id", "url", url_filter.RULES)
+    return rows.select(F.col("id").alias("page_id"), "host", "path", "rule")
+
+
+QUERIES = {f.__name__: f for f in (op1_quality_rules, op2_line_dedup, op4_decontaminate, op5_url_filter, op3_token_counts, op6_minhash, op7_warc, op8_mixing, op9_toxicity, op10_quality_crf, url_rules)}
+SQL: dict[str, str] = {"op1_quality_rules": OP1_SQL, "op2_line_dedup": OP2_SQL, "op6_minhash": OP6_SQL, "op7_warc": warc.ROUND_TRIP_SQL, "url_rules": url_filter.RULES_SQL}
