@@ -22,8 +22,11 @@ def quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def lines(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Lines that many sources share are cut out; a changed text gets its new n_chars. Every document stays."""
-    out = line_dedup.line_dedup(docs)
+    """Lines that many sources share are cut out; a changed text gets its new n_chars. Every document stays.
+
+    Copies stay whole: the next stage keeps one of each group.
+    """
+    out = line_dedup.line_dedup(docs, spare_copies=True)
     n = F.when(F.col("_ld_removed") > 0, F.length("text").cast(docs.schema["n_chars"].dataType)).otherwise(F.col("n_chars"))
     return out.withColumn("n_chars", n).select(docs.columns)
 
