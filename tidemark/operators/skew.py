@@ -22,12 +22,12 @@ def dense_counts(counts: DataFrame) -> DataFrame:
     return cells.join(counts, ["client", "class"], "left").withColumn("n", F.coalesce("n", F.lit(0)).cast("long"))
 
 
-def client_skew(counts: DataFrame) -> DataFrame:
-    """client, n, d_k: distance of the client's class shares from uniform over all classes that occur anywhere.
+def client_skew(counts: DataFrame, classes: DataFrame | None = None) -> DataFrame:
+    """client, n, d_k: distance of the client's class shares from uniform over the declared ``classes`` (class), or all that occur anywhere.
 
     Classes the client lacks add (1/C)^2 each, so no dense table is needed: sum over its own classes, plus the rest at once.
     """
-    total = counts.agg(F.countDistinct("class").alias("c"))
+    total = (counts if classes is None else classes).agg(F.countDistinct("class").alias("c"))
     own = counts.withColumn("all", F.sum("n").over(Window.partitionBy("client")))
     shares = own.crossJoin(F.broadcast(total)).groupBy("client", "c").agg(
         F.sum("n").alias("n"),

@@ -199,7 +199,7 @@ def paillier_sum(spark: SparkSession, sf_dir: str) -> DataFrame:
     keys = fixedpoint.Keys.make(256, seed=5)
     v = vectors.long_form(_vectors(spark, sf_dir), "vector", "client").withColumn("x", F.round("x", 9))
     w = skew.integer_weights(skew.feddisco_weights(skew.client_skew(counts(spark, sf_dir, "embeddings"))))
-    cipher = fixedpoint.encrypted(fixedpoint.encode_vectors(v, "client"), keys)
+    cipher = fixedpoint.encrypted(fixedpoint.encode_vectors(v, "client"), keys.public)
     total = fixedpoint.decrypted(fixedpoint.encrypted_sum(cipher, w, keys.n), keys)
     return total.select("pos", F.round(fixedpoint.decode(F.col("total")) / float(1 << 24), 6).alias("x"))
 
@@ -214,6 +214,14 @@ def parameter_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 PARAMETERS_SQL = "select count(*)::bigint as layers, sum(len(embedding))::bigint as parameters from embeddings"
 
+def client_skew_declared(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Twelve classes are declared, two of which nobody holds."""
+    return rounded(skew.client_skew(counts(spark, sf_dir, "embeddings"), spark.range(12).toDF("class")), "d_k")
+
+
+DECLARED_SQL = """with c as (select (vec_id % 8)::varchar as client, label, count(*) as n from embeddings group by 1, 2), s as (select client, sum(n) as n from c group by 1)
+select s.client, s.n::bigint as n, round(sqrt(sum(pow(coalesce(c.n, 0) / s.n - 1e0 / 12, 2))), 6) as d_k from s cross join range(12) t(k) left join c on c.client = s.client and c.label = k group by 1, 2"""
+
 _W = {
     "client_skew_feddisco": _feddisco("lineitem"),
     "client_skew_feddisco_fallback": _feddisco("documents"),
@@ -237,4 +245,5 @@ PAIRS = _W | {
     "fixed_point_sum": (fixed_point_sum, FIXED_SUM_SQL),
     "paillier_sum": (paillier_sum, PAILLIER_SQL),
     "parameter_counts": (parameter_counts, PARAMETERS_SQL),
+    "client_skew_declared": (client_skew_declared, DECLARED_SQL),
 }
