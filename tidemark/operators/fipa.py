@@ -4,11 +4,13 @@ Client m brings a change delta (p), directions U (p x r) and curvatures lambda (
 H+ sum_m a_m U_m (lambda_m * U_m' delta_m), where H = C C' and C holds the columns sqrt(a_m lambda_mj) U_mj.  C is long
 (pos, col, c) and never leaves the executors: only its Gram matrix K = C'C (s x s, s the number of columns) is brought to
 the driver, and C C' and C'C share their non-zero spectrum.  With K = W diag(sigma) W', H+ v = C W diag(sigma+^2) W' C' v.
-The Gram matrix has s^2 / 2 cells summed over positions, so clients x rank must stay in the thousands.
+The Gram matrix has s^2 / 2 cells summed over positions; more than MOST_COLUMNS columns are refused.
 """
 
 from __future__ import annotations
 
+from dataclasses import dataclass
+
 import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame, Window
@@ -80,39 +82,63 @@ def gram(clients: DataFrame) -> DataFrame:
     return a.join(b, "pos").where(half).groupBy("c1", "j1", "c2", "j2").agg(F.sum(F.col("x") * F.col("y")).alias("k"))
 
 
-def _solve(cells: list, names: list[tuple], v: dict, rtol: float) -> tuple[np.ndarray, np.ndarray]:
-    """Coefficients over the columns of C for H+ v, and for the projection of a vector on C's span."""
+#: The most columns (clients x rank) of C: its Gram matrix of their square is what the driver holds.
+MOST_COLUMNS = 4096
+
+
+@dataclass(frozen=True)
+class Consensus:
+    """The driver's view of C C': the columns' names, their Gram matrix, its eigenvectors and inverse non-zero spectrum."""
+
+    names: list[tuple]
+    k: np.ndarray
+    vectors: np.ndarray
+    inverse: np.ndarray
+
+    def apply(self, v: np.ndarray, power: int) -> np.ndarray:
+        """K to the power of minus ``power``, on its non-zero spectrum, times v."""
+        inverse = self.inverse**power
+        return self.vectors @ ((inverse[:, None] if v.ndim == 2 else inverse) * (self.vectors.T @ v))
+
+
+def consensus(clients: DataFrame, rtol: float = 1e-8) -> Consensus:
+    names = [tuple(r) for r in clients.select("client", F.posexplode("curvature").alias("j", "l")).select("client", "j").limit(MOST_COLUMNS + 1).collect()]
+    if len(names) > MOST_COLUMNS:
+        raise ValueError(f"clients x rank is over {MOST_COLUMNS}")
+    names.sort()
     place = {n: i for i, n in enumerate(names)}
     k = np.zeros((len(names), len(names)))
-    for c1, j1, c2, j2, x in cells:
+    for c1, j1, c2, j2, x in gram(clients).select("c1", "j1", "c2", "j2", "k").collect():  # MOST_COLUMNS squared at most
         k[place[c1, j1], place[c2, j2]] = k[place[c2, j2], place[c1, j1]] = x
     sigma, w = np.linalg.eigh(k)
     keep = sigma > rtol * max(sigma.max(initial=0.0), 0.0)
-    inverse = np.where(keep, 1 / np.where(keep, sigma, 1), 0.0)
-    t = np.array([v.get(n, 0.0) for n in names])
-    return w @ (inverse**2 * (w.T @ t)), w @ (inverse * (w.T @ t))
+    return Consensus(names, k, w, np.where(keep, 1 / np.where(keep, sigma, 1), 0.0))
 
 
-def preconditioned_sum(clients: DataFrame, rtol: float = 1e-8) -> DataFrame:
-    """pos, x: the preconditioned sum of client rows (client, n, delta, directions, curvature); zeros if no client has samples.
+def project(clients: DataFrame, c: Consensus) -> np.ndarray:
+    """C'v of v = sum_m a_m U_m (lambda_m z_m): v lies in C's span with coefficients sqrt(a lambda) z on column (m, j), so it is K t."""
+    if "delta" not in clients.columns or clients.where("delta is null").limit(1).count():
+        raise ValueError("there are no deltas to project")
+    facts = columns(clients).select("client", "j", "share", "lambda").distinct()
+    t = dict.fromkeys(c.names, 0.0)
+    for client, j, z, share, lam in project_deltas(clients).join(facts, ["client", "j"]).select("client", "j", "z", "share", "lambda").collect():
+        t[client, j] = float(np.sqrt(share * lam)) * z
+    return c.k @ np.array([t[n] for n in c.names])
 
-    v = sum_m a_m U_m (lambda_m z_m) lies in C's span with known coefficients: sqrt(a lambda) z on column (m, j), so C'v = K t.
-    """
-    spark = clients.sparkSession
-    z = {(r[0], r[1]): (r[2], r[3], r[4]) for r in project_deltas(clients).join(columns(clients).select("client", "j", "share", "lambda").distinct(), ["client", "j"]).select("client", "j", "z", "share", "lambda").collect()}
-    names = sorted(z)
-    cells = [tuple(r) for r in gram(clients).select("c1", "j1", "c2", "j2", "k").collect()]
-    t = {n: np.sqrt(a * lam) * x for n, (x, a, lam) in z.items()}
-    place = {n: i for i, n in enumerate(names)}
-    k = np.zeros((len(names), len(names)))
-    for c1, j1, c2, j2, x in cells:
-        k[place[c1, j1], place[c2, j2]] = k[place[c2, j2], place[c1, j1]] = x
-    ct_v = dict(zip(names, k @ np.array([t[n] for n in names]), strict=True)) if names else {}
-    coefficient, _ = _solve(cells, names, ct_v, rtol)
+
+def expand(clients: DataFrame, c: Consensus, coordinates: np.ndarray) -> DataFrame:
+    """pos, x: H+ of the vector with these coordinates C'v, back in all positions: C K^-2 C'v."""
+    coefficient = c.apply(coordinates, 2) if c.names else coordinates
     kinds = f"client {clients.schema['client'].dataType.simpleString()}, j int, w double"
-    w = spark.createDataFrame([(n[0], n[1], float(x)) for n, x in zip(names, coefficient, strict=True)], kinds)
-    c = scaled_columns(clients).join(F.broadcast(w), ["client", "j"])
-    return c.groupBy("pos").agg(F.sum(F.col("c") * F.col("w")).alias("x"))
+    w = clients.sparkSession.createDataFrame([(n[0], n[1], float(x)) for n, x in zip(c.names, coefficient, strict=True)], kinds)
+    both = scaled_columns(clients).join(F.broadcast(w), ["client", "j"])
+    return both.groupBy("pos").agg(F.sum(F.col("c") * F.col("w")).alias("x"))
+
+
+def preconditioned_sum(clients: DataFrame, rtol: float = 1e-8) -> DataFrame:
+    """pos, x: the preconditioned sum of client rows (client, n, delta, directions, curvature); zeros if no client has samples."""
+    c = consensus(clients, rtol)
+    return expand(clients, c, project(clients, c))
 
 
 def aggregate(theta: DataFrame, clients: DataFrame, rtol: float = 1e-8) -> DataFrame:
@@ -121,24 +147,33 @@ def aggregate(theta: DataFrame, clients: DataFrame, rtol: float = 1e-8) -> DataF
     return theta.join(step, "pos", "left").select("pos", (F.col("x") + F.coalesce("_d", F.lit(0.0))).cast("float").alias("x"))
 
 
+def server_round(snapshot: DataFrame | None, updates: DataFrame, rtol: float = 1e-8) -> DataFrame:
+    """:func:`aggregate` behind the server's guards: the model as sent out must be there, and every update its factors."""
+    if snapshot is None:
+        raise ValueError("no snapshot of the model that was sent out: the deltas have nothing to be added to")
+    factors = {"directions", "curvature"} - set(updates.columns)
+    bare = updates.where("directions is null or curvature is null or size(directions) <> size(curvature)").select("client").limit(1).collect() if not factors else []
+    if factors or bare:
+        raise ValueError(f"client {bare[0][0] if bare else '?'} sent a delta without its curvature factors")
+    return aggregate(snapshot, updates, rtol)
+
+
+def mean_explained(updates: DataFrame) -> DataFrame:
+    """One row: the mean of ``explained`` over the clients that report one (neither null nor NaN)."""
+    return updates.agg(F.avg(F.when(~F.isnan("explained"), F.col("explained"))).alias("mean_explained"))
+
+
 def preconditioners(clients: DataFrame, rtol: float = 1e-8) -> DataFrame:
     """client, j, pos, x: P_m with sum_m P_m z_m the preconditioned sum, so that a client sends r numbers instead of p."""
-    spark = clients.sparkSession
+    c = consensus(clients, rtol)
     facts = {(r[0], r[1]): (r[2], r[3]) for r in columns(clients).select("client", "j", "share", "lambda").distinct().collect()}
-    names = sorted(facts)
-    place = {n: i for i, n in enumerate(names)}
-    k = np.zeros((len(names), len(names)))
-    for c1, j1, c2, j2, x in (tuple(r) for r in gram(clients).collect()):
-        k[place[c1, j1], place[c2, j2]] = k[place[c2, j2], place[c1, j1]] = x
-    sigma, w = np.linalg.eigh(k)
-    keep = sigma > rtol * max(sigma.max(initial=0.0), 0.0)
-    inner = w @ np.diag(np.where(keep, 1 / np.where(keep, sigma, 1), 0.0) ** 2) @ w.T @ k
-    scale = np.array([np.sqrt(a * lam) for a, lam in (facts[n] for n in names)])
-    table = [(*names[i], *names[q], float(inner[i, q] * scale[q])) for i in range(len(names)) for q in range(len(names))]
+    inner = c.apply(c.k, 2) * np.array([np.sqrt(facts[n][0] * facts[n][1]) for n in c.names])[None, :]
     kind = clients.schema["client"].dataType.simpleString()
-    m = spark.createDataFrame(table, f"client {kind}, j int, to_client {kind}, to_j int, w double")
-    c = scaled_columns(clients).join(F.broadcast(m), ["client", "j"])
-    return c.groupBy(F.col("to_client").alias("client"), F.col("to_j").alias("j"), "pos").agg(F.sum(F.col("c") * F.col("w")).alias("x"))
+    # one row a column of C with its coefficients for all operators: MOST_COLUMNS numbers
+    m = clients.sparkSession.createDataFrame([(*n, row.tolist()) for n, row in zip(c.names, inner, strict=True)], f"client {kind}, j int, w array<double>")
+    names = clients.sparkSession.createDataFrame([(i, *n) for i, n in enumerate(c.names)], f"at int, client {kind}, j int")
+    both = scaled_columns(clients).join(F.broadcast(m), ["client", "j"]).select("pos", "c", F.posexplode("w").alias("at", "w"))
+    return both.groupBy("at", "pos").agg(F.sum(F.col("c") * F.col("w")).alias("x")).join(F.broadcast(names), "at").select("client", "j", "pos", "x")
 
 
 def diagnostics(clients: DataFrame, rtol: float = 1e-8) -> DataFrame:
@@ -150,15 +185,16 @@ def diagnostics(clients: DataFrame, rtol: float = 1e-8) -> DataFrame:
     d = rows.select("client", "share", F.posexplode("delta").alias("pos", "x"))
     norms = d.groupBy("client", "share").agg(F.sqrt(F.sum(F.col("x") * F.col("x"))).alias("norm"))
     local = project_deltas(clients).groupBy("client").agg(F.sqrt(F.sum(F.col("z") * F.col("z"))).alias("inside"))
-    c = scaled_columns(clients).groupBy("client", "j", "pos").agg(F.sum("c").alias("c"))
-    against = c.withColumnRenamed("client", "of").join(d, "pos").groupBy("client", "of", "j").agg(F.sum(F.col("c") * F.col("x")).alias("t")).collect()
-    cells = [tuple(r) for r in gram(clients).select("c1", "j1", "c2", "j2", "k").collect()]
-    names = sorted({(r["of"], r["j"]) for r in against})
+    c, columns_ = consensus(clients, rtol), scaled_columns(clients)
+    # a client's delta against every column: clients x columns numbers
+    against = columns_.withColumnRenamed("client", "of").join(d, "pos").groupBy("client", "of", "j").agg(F.sum(F.col("c") * F.col("x")).alias("t"))
+    seen: dict = {}
+    for r in against.collect():
+        seen.setdefault(r["client"], {})[r["of"], r["j"]] = r["t"]
     joint = []
-    for client in sorted({r["client"] for r in against}):
-        v = {(r["of"], r["j"]): r["t"] for r in against if r["client"] == client}
-        _, y = _solve(cells, names, v, rtol)
-        joint.append((client, float(np.sqrt(max(0.0, float(np.dot(y, [v.get(n, 0.0) for n in names])))))))
+    for client in sorted(seen):
+        v = np.array([seen[client].get(n, 0.0) for n in c.names])
+        joint.append((client, float(np.sqrt(max(0.0, float(v @ c.apply(v, 1)))))))
     kind = clients.schema["client"].dataType.simpleString()
     joint_rows = clients.sparkSession.createDataFrame(joint, f"client {kind}, joint double")
     per = norms.join(local, "client").join(joint_rows, "client", "left")
