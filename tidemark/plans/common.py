@@ -23,5 +23,7 @@ def mixed(key: str) -> list[Column]:
     return [(F.col(key) * 7919) % 10007, F.col(key)]
 
 
+#: The range of that hash.
+SPAN = (0.0, 10007.0)
 #: The same order in SQL.
 MIXED = "(({0}) * 7919) % 10007, {0}"
