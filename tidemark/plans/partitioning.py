@@ -6,10 +6,10 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tidemark.functions import scalar
-from tidemark.operators import grid, partition
+from tidemark.operators import corruptions, grid, partition
 from tidemark.sources import files
 
-from .common import MIXED, mixed, rounded, table
+from .common import MIXED, SPAN, mixed, rounded, table
 
 
 def _brands(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -60,7 +60,7 @@ def class_index(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def loader_batches(spark: SparkSession, sf_dir: str) -> DataFrame:
     o = table(spark, sf_dir, "orders").select("o_orderkey", "o_orderstatus")
-    return partition.batches(o, mixed("o_orderkey"), 32, "o_orderstatus").groupBy("o_orderstatus", "batch").agg(F.count("*").alias("n"), F.min("o_orderkey").alias("first"))
+    return partition.batches(o, mixed("o_orderkey"), 32, "o_orderstatus", span=SPAN).groupBy("o_orderstatus", "batch").agg(F.count("*").alias("n"), F.min("o_orderkey").alias("first"))
 
 
 LOADER_SQL = f"""with r as (select o_orderstatus, o_orderkey, (row_number() over (partition by o_orderstatus order by {MIXED.format("o_orderkey")}) - 1) // 32 as batch from orders)
@@ -69,7 +69,7 @@ select o_orderstatus, batch::bigint as batch, count(*)::bigint as n, min(o_order
 
 def stratified_kfold(spark: SparkSession, sf_dir: str) -> DataFrame:
     o = table(spark, sf_dir, "orders").select("o_orderkey", "o_orderpriority")
-    return partition.stratified_kfold(o, "o_orderpriority", 7, mixed("o_orderkey"))
+    return partition.stratified_kfold(o, "o_orderpriority", 7, mixed("o_orderkey"), SPAN)
 
 
 KFOLD_SQL = f"select o_orderkey, o_orderpriority, ((row_number() over (partition by o_orderpriority order by {MIXED.format('o_orderkey')}) - 1) % 7)::int as client from orders"
@@ -83,7 +83,7 @@ UNITS_SQL = "select l_returnflag as label, l_orderkey as track, count(*)::bigint
 
 
 def cap_units(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return partition.cap_units(table(spark, sf_dir, "orders").select("o_orderkey", "o_orderpriority"), "o_orderpriority", 100, mixed("o_orderkey"))
+    return partition.cap_units(table(spark, sf_dir, "orders").select("o_orderkey", "o_orderpriority"), "o_orderpriority", 100, mixed("o_orderkey"), SPAN)
 
 
 CAP_SQL = f"select o_orderkey, o_orderpriority from orders qualify row_number() over (partition by o_orderpriority order by {MIXED.format('o_orderkey')}) <= 100"
@@ -94,7 +94,7 @@ _DRAW = [(c, k, round(p, 9)) for c, k, p in partition.draw_proportions(_PRIORITI
 
 def _assigned(spark: SparkSession, sf_dir: str) -> DataFrame:
     o = table(spark, sf_dir, "orders").select("o_orderkey", "o_orderpriority")
-    return partition.dirichlet_assign(o, "o_orderpriority", spark.createDataFrame(_DRAW, "o_orderpriority string, client int, p double"), mixed("o_orderkey"))
+    return partition.dirichlet_assign(o, "o_orderpriority", spark.createDataFrame(_DRAW, "o_orderpriority string, client int, p double"), mixed("o_orderkey"), SPAN)
 
 
 _ASSIGN = f"""dr(pri, client, p) as (values {", ".join(f"('{c}', {k}, {p!r}::double)" for c, k, p in _DRAW)}),
@@ -116,7 +116,7 @@ def dirichlet_partition(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def train_valid_split(spark: SparkSession, sf_dir: str) -> DataFrame:
     d = table(spark, sf_dir, "documents").select("doc_id", "source", "lang")
-    return partition.train_valid(d, "source", "lang", "doc_id", 0.1, mixed("doc_id"))
+    return partition.train_valid(d, "source", "lang", "doc_id", 0.1, mixed("doc_id"), SPAN)
 
 
 def _alloc_sql(counts: str) -> str:
@@ -146,7 +146,7 @@ REMAINDER_SQL = f"""with c as (select c_nationkey as class, count(*) as n from c
 
 
 def stratified_subsample(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return partition.stratified_subsample(table(spark, sf_dir, "part").select("p_partkey", "p_brand"), "p_brand", 200, mixed("p_partkey"))
+    return partition.stratified_subsample(table(spark, sf_dir, "part").select("p_partkey", "p_brand"), "p_brand", 200, mixed("p_partkey"), SPAN)
 
 
 SUBSAMPLE_SQL = f"""with c as (select 0 as key, p_brand as class, count(*) as n, 200 as size from part group by 2), {_alloc_sql("c")}
@@ -161,17 +161,57 @@ PLAN_SQL = f"select c as corruption, s::int as severity, c || '_s' || s as condi
 
 
 def corrupted_vectors(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Sums and sums of squares of every vector under contrast, brightness and pixelate at each severity."""
-    plan = partition.conditions(spark, ["contrast", "brightness", "pixelate"], [1, 3, 5])
-    rows = partition.corrupt(table(spark, sf_dir, "embeddings").select("vec_id", "embedding"), "embedding", plan, "vec_id")
-    long = rows.select("vec_id", "condition", F.explode("x").alias("x"))
-    return rounded(long.groupBy("vec_id", "condition").agg(F.sum("x").alias("s1"), F.sum(F.col("x") * F.col("x")).alias("s2")), "s1", "s2", digits=5)
-
-
-CORRUPT_SQL = """with e as (select vec_id, unnest(embedding)::double as v from embeddings), m as (select vec_id, avg(v) as mean from e group by 1),
-p as (select c, s from (select unnest(['contrast', 'brightness', 'pixelate']) as c) cross join (select unnest([1, 3, 5]) as s)),
-x as (select vec_id, c || '_s' || s as condition, case c when 'contrast' then mean + (v - mean) / (1 + s * 0.5e0) when 'brightness' then v + s * 0.1e0 else round_even(v * (10e0 / s), 0) / (10e0 / s) end as x from e join m using (vec_id) cross join p)
-select vec_id, condition, round(sum(x), 5) as s1, round(sum(x * x), 5) as s2 from x group by 1, 2"""
+    """Sums, sums of squares and sums weighted by position of every vector under each corruption at each severity."""
+    plan = partition.conditions(spark, sorted(set(scalar.FAMILIES) - {"clean"}), [1, 3, 5])
+    rows = corruptions.corrupt(table(spark, sf_dir, "embeddings").select("vec_id", "embedding"), "embedding", plan, "vec_id")
+    long = rows.select("vec_id", "condition", F.posexplode("x").alias("i", "x"))
+    # a little more, as sums of values on a grid may fall on a rounding edge
+    sums = [(F.sum(c) + 1e-7).alias(n) for n, c in (("s1", F.col("x")), ("s2", F.col("x") * F.col("x")), ("s3", F.col("x") * F.col("i")))]
+    return rounded(long.groupBy("vec_id", "condition").agg(*sums), "s1", "s2", "s3", digits=5)
+
+
+_AT = "list_extract(e, (greatest(0, least(63, {0})) + 1)::int)"
+_KERNELS = {
+    "gaussian_noise": "x + u * s * 0.05e0", "shot_noise": "x + u * sqrt(abs(x)) * s * 0.06e0", "impulse_noise": "case when q < s then case when u < 0 then -1e0 else 1e0 end else x end",
+    "speckle_noise": "x + x * u * s * 0.1e0", "defocus_blur": f"list_sum(list_transform(range(-s, s + 1), lambda k: {_AT.format('i + k')})) / (2 * s + 1)",
+    "gaussian_blur": f"x + (s / 5e0) * (({_AT.format('i - 1')} + 2 * x + {_AT.format('i + 1')}) / 4 - x)", "glass_blur": _AT.format("i + m % (2 * s + 1) - s"),
+    "motion_blur": f"list_sum(list_transform(range(0, s + 1), lambda k: {_AT.format('i + k')})) / (s + 1)", "zoom_blur": f"(x + {_AT.format('floor(i / (1 + s * 0.1e0))')} + {_AT.format('floor(i / (1 + s * 0.2e0))')}) / 3",
+    "snow": "case when q < 2 * s then x + 0.5e0 else x end", "frost": "x * (1 - s * 0.1e0) + case when i % 5 = 0 then s * 0.1e0 else 0 end", "fog": "x * (1 - s * 0.1e0) + s * 0.1e0",
+    "spatter": "case when q < s then 0e0 else x end", "brightness": "x + s * 0.1e0", "contrast": "mean + (x - mean) / (1 + s * 0.5e0)",
+    "elastic_transform": _AT.format("i + case when (i // 8) % 2 = 0 then s else -s end"), "pixelate": "round_even(x * (10e0 / s), 0) / (10e0 / s)",
+    "jpeg_compression": "round_even(x * (40e0 / s), 0) / (40e0 / s) + case when i % 8 = 0 then s * 0.01e0 else 0 end", "saturate": "greatest(-1e0, least(1e0, x * (1 + s * 0.2e0)))",
+}
+CORRUPT_SQL = f"""with w as (select vec_id, list_transform(embedding, lambda x: x::double) as e from embeddings),
+l as (select vec_id, e, list_avg(e) as mean, unnest(e) as x, unnest(range(0, 64)) as i from w),
+p as (select c, s::int as s from (select unnest([{", ".join(repr(k) for k in _KERNELS)}]) as c) cross join (select unnest([1, 3, 5]) as s)),
+m as (select *, (vec_id * 7919 + i * 10459 + s * 1013) % 2001 as m from l cross join p), q as (select *, m % 20 as q, (m - 1000) / 1000e0 as u from m),
+y as (select vec_id, i, c || '_s' || s as condition, case c {" ".join(f"when '{k}' then {v}" for k, v in _KERNELS.items())} end as y from q)
+select vec_id, condition, round(sum(y) + 1e-7, 5) as s1, round(sum(y * y) + 1e-7, 5) as s2, round(sum(y * i) + 1e-7, 5) as s3 from y group by 1, 2"""
+
+
+def unit_positions(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The order lines that each client holds when whole orders are dealt to four clients."""
+    li = table(spark, sf_dir, "lineitem").select("l_orderkey", "l_linenumber")
+    members = li.groupBy(F.col("l_orderkey").alias("unit")).agg(F.collect_list(F.col("l_orderkey") * 10 + F.col("l_linenumber")).alias("positions"))
+    assigned = li.select(F.col("l_orderkey").alias("unit"), (F.col("l_orderkey") % 4).cast("int").alias("client")).distinct()
+    return partition.positions_of(assigned, members)
+
+
+def split_strategies(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Both strategies by configuration: rows dealt, tracks on more than one client, clients with rows."""
+    rows = table(spark, sf_dir, "lineitem").select("l_returnflag", "l_orderkey", (F.col("l_orderkey") * 10 + F.col("l_linenumber")).alias("line"))
+    out = None
+    for strategy, split_ok in (("stratified", False), ("dirichlet", True)):
+        config = {"num_clients": 3, "partition_strategy": strategy, "dirichlet_alpha": 5.0}
+        one = partition.split_by(config, rows, "l_returnflag", "l_orderkey", "line")
+        per = one.groupBy("l_returnflag", "l_orderkey").agg(F.count("*").alias("n"), F.countDistinct("client").alias("c"), F.max("client").alias("m"))
+        one = per.agg(F.lit(strategy).alias("strategy"), F.sum("n").alias("rows"), F.max(F.when(F.lit(split_ok), F.col("c"))).alias("clients_a_track"), (F.max("m") + 1).alias("clients"))
+        out = one if out is None else out.union(one)
+    return out
+
+
+STRATEGY_SQL = """select s as strategy, count(*)::bigint as rows, case s when 'dirichlet' then 1::bigint end as clients_a_track, 3 as clients
+from lineitem cross join (select unnest(['stratified', 'dirichlet']) as s) group by 1"""
 
 
 def track_names(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -277,13 +317,20 @@ MERGE_SQL = "select c_name as name, c_acctbal as balance, c_mktsegment as segmen
 
 
 def key_difference(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Nations with customers but no suppliers, or the other way round."""
-    c = table(spark, sf_dir, "customer").select(F.col("c_nationkey").alias("nation")).distinct()
-    s = table(spark, sf_dir, "supplier").select(F.col("s_nationkey").alias("nation")).distinct()
-    return grid.symmetric_difference(c, s, "nation")
+    """Customers who ordered in the last year but not in the year before, or the other way round."""
+    o = table(spark, sf_dir, "orders")
+    last = o.agg(F.max(F.year("o_orderdate")).alias("y")).first()["y"]
+    year = lambda y: o.where(F.year("o_orderdate") == y).select(F.col("o_custkey").alias("customer")).distinct()
+    return grid.symmetric_difference(year(last), year(last - 1), "customer")
+
+
+DIFF_SQL = """with y as (select max(extract(year from o_orderdate)) as y from orders), a as (select distinct o_custkey as customer from orders, y where extract(year from o_orderdate) = y),
+b as (select distinct o_custkey as customer from orders, y where extract(year from o_orderdate) = y - 1) (select * from a except select * from b) union (select * from b except select * from a)"""
 
 
-DIFF_SQL = "(select c_nationkey as nation from customer except select s_nationkey from supplier) union (select s_nationkey from supplier except select c_nationkey from customer)"
+def grid_fingerprints(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """How many runs the extra keys tell apart: sizes of the groups of equal fingerprints."""
+    return grid.fingerprint(grid.normalise(_grid(spark)[0]), grid.EXTRA_KEYS).groupBy("fingerprint").agg(F.count("*").alias("n")).groupBy("n").agg(F.count("*").alias("groups"))
 
 
 def results_tail(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -309,6 +356,8 @@ PAIRS = {
     "stratified_subsample": (stratified_subsample, SUBSAMPLE_SQL),
     "condition_plan": (condition_plan, PLAN_SQL),
     "corrupted_vectors": (corrupted_vectors, CORRUPT_SQL),
+    "unit_positions": (unit_positions, "select (l_orderkey % 4)::int as client, l_orderkey * 10 + l_linenumber as position from lineitem"),
+    "split_strategies": (split_strategies, STRATEGY_SQL),
     "track_names": (track_names, TRACK_SQL),
     "condition_parse": (condition_parse, PARSE_SQL),
     "effective_n": (effective_n, EFFECTIVE_SQL),
@@ -319,5 +368,6 @@ PAIRS = {
     "grid_counts": (grid_counts, f"with {_EXPAND}, {_DONE}, nw as ({_NORMAL} from ex except {_NORMAL} from do_) select (select count(*) from ex)::bigint as generated, (select count(*) from nw)::bigint as new, ((select count(*) from ex) - (select count(*) from nw))::bigint as skipped"),
     "results_schema_merge": (results_schema_merge, MERGE_SQL),
     "key_difference": (key_difference, DIFF_SQL),
+    "grid_fingerprints": (grid_fingerprints, f"with {_EXPAND}, nx as ({_NORMAL} from ex), g as (select count(*) as n from nx group by model_name, partition_strategy, dirichlet_alpha, fipa_rank, feddisco_a) select n::bigint as n, count(*)::bigint as groups from g group by 1"),
     "results_tail": (results_tail, "select o_orderkey, o_totalprice from orders order by o_orderkey desc limit 5"),
 }
