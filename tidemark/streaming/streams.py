@@ -1,36 +1,79 @@
 """Streaming forms of the batch operators: the same column expressions over unbounded input.
 
 Every query reads a folder as it fills (``availableNow`` drains what is there).  Event time is UTC; ``ts`` columns without a
-zone are cast before watermarking.
+zone are cast before watermarking.  Results and state go to the shared folder, never through the driver.  What a stateful
+operator holds at once is one key's rows of one trigger, so ``files`` (read per trigger) bounds it.
 """
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.streaming.listener import StreamingQueryListener
 from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
+from pyspark.sql.types import LongType, StructField, StructType
+
+from tidemark.operators.rounds import latest_per_key
+from tidemark.sources.shared import scratch
+
+#: The most rows of a static side that is broadcast to a stream.
+BROADCAST_ROWS = 100_000
+
+
+class Progress(StreamingQueryListener):
+    """Calls ``report(name, batch, rows)`` after every micro-batch; add it to ``spark.streams``."""
+
+    def __init__(self, report: Callable[[str, int, int], None]):
+        self.report = report
+
+    def onQueryStarted(self, event) -> None:  # noqa: N802
+        pass
+
+    def onQueryProgress(self, event) -> None:  # noqa: N802
+        p = event.progress
+        self.report(p.name, p.batchId, p.numInputRows)
+
+    def onQueryIdle(self, event) -> None:  # noqa: N802
+        pass
+
+    def onQueryTerminated(self, event) -> None:  # noqa: N802
+        pass
 
 
 def source(spark: SparkSession, path: str, schema, pattern: str = "*.parquet", files: int = 1) -> DataFrame:
     return spark.readStream.schema(schema).option("maxFilesPerTrigger", files).option("pathGlobFilter", pattern).parquet(path)
 
 
-def drain(stream: DataFrame, name: str, mode: str = "append", checkpoint: str | None = None) -> DataFrame:
-    """Run a stream over what there is and return its result as a table in memory (tests and small results)."""
-    w = stream.writeStream.outputMode(mode).format("memory").queryName(name).trigger(availableNow=True)
-    w = w.option("checkpointLocation", checkpoint) if checkpoint else w
-    conf, key = stream.sparkSession.conf, "spark.sql.streaming.noDataMicroBatches.enabled"
+def drain(stream: DataFrame, name: str, keys: list[str] | None = None, checkpoint: str | None = None) -> DataFrame:
+    """Run a stream over what there is and return its result as a table in the shared folder.
+
+    Without ``keys`` rows are appended.  With them a row replaces the one of its keys that an earlier batch gave (update
+    mode): batches are stored beside each other, so that a repeated batch overwrites itself, and the last row of each key is read.
+    """
+    spark = stream.sparkSession
+    path = scratch(spark, name)
+    w = stream.writeStream.queryName(name).trigger(availableNow=True).option("checkpointLocation", checkpoint or scratch(spark, f"{name}-state"))
+    if keys is None:
+        w = w.outputMode("append").format("parquet").option("path", path)
+    else:
+        w = w.outputMode("update").foreachBatch(lambda rows, batch: rows.write.mode("overwrite").parquet(f"{path}/_batch={batch}"))
+    conf, key = spark.conf, "spark.sql.streaming.noDataMicroBatches.enabled"
     before = conf.get(key)
     conf.set(key, "false")  # a query with timers would otherwise run batches without data for ever
     try:
         w.start().awaitTermination()
     finally:
         conf.set(key, before)
-    return stream.sparkSession.table(name)
+    if keys is None:
+        return spark.read.schema(stream.schema).parquet(path)
+    out = spark.read.schema(StructType([*stream.schema.fields, StructField("_batch", LongType())])).parquet(path)
+    rest = [c for c in stream.columns if c not in keys]
+    packed = out.select(F.struct(*keys).alias("k"), "_batch", F.struct(*rest).alias("v"))
+    return latest_per_key(packed, "k", ["_batch"]).select("k.*", "v.*")
 
 
 def tumbling_moments(events: DataFrame, ts: str, value: str, window: str, late: str, *keys: str) -> DataFrame:
@@ -56,6 +99,8 @@ def nearest_state(batches: DataFrame, bank: DataFrame) -> DataFrame:
     """Stream rows (key, seq, values) joined with a static bank (label, mean, var): scalar symmetric divergence to each entry."""
     from tidemark.functions.scalar import symmetric_kl_term
 
+    if bank.limit(BROADCAST_ROWS + 1).count() > BROADCAST_ROWS:
+        raise ValueError(f"a bank of over {BROADCAST_ROWS} rows is not for a stream's broadcast")
     d = symmetric_kl_term(F.col("mean"), F.col("var"), F.col("bank_mean"), F.col("bank_var"))
     return batches.crossJoin(F.broadcast(bank)).withColumn("distance", d)
 
@@ -106,7 +151,7 @@ def round_barrier(updates: DataFrame, need: int) -> DataFrame:
         clients, sizes, losses, closed = state.get if state.exists else ([], [], [], False)
         seen = {c: (s, x) for c, s, x in zip(clients, sizes, losses, strict=True)}
         out = []
-        for r in pd.concat(list(frames)).sort_values(["ts", "client"]).itertuples(index=False):
+        for r in pd.concat(list(frames)).sort_values(["ts", "client"], kind="stable").itertuples(index=False):
             if closed:
                 continue
             seen[r.client] = (int(r.train_size), float(r.train_loss))
