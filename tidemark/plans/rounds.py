@@ -2,11 +2,12 @@
 
 from __future__ import annotations
 
+import numpy as np
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tidemark.functions import scalar
-from tidemark.operators import rounds
+from tidemark.operators import rounds, rules, skew
 
 from .common import rounded, table
 
@@ -79,6 +80,64 @@ c as (select *, lag(rule) over (order by round) as pr, lag(total) over (order by
 select round, algorithm, rule, total, case when pr is null then 0e0 when pr in ('FedAvg', 'FedProx', 'FedLC') then pt::double when pr = 'FedDisco' then 16777216e0 else 1e0 end as denominator, false as snapshot from c"""
 
 
+def round_algorithm_plain(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The same rounds in the clear: preconditioned ones need a snapshot, discounted ones no scale."""
+    r = updates(spark, sf_dir).groupBy("round").agg(F.sum("train_size").alias("total"))
+    names = F.array(*map(F.lit, scalar.ALGORITHMS))
+    r = r.withColumn("algorithm", F.element_at(names, (F.col("round") % 5 + 1).cast("int")))
+    return rounds.open_rounds(r, 8, False).select("round", "rule", "denominator", "snapshot")
+
+
+PLAIN_SQL = f"""with {_U}, r as (select round, sum(train_size)::bigint as total from u group by 1),
+a as (select *, (['FedAvg', 'FedProx', 'FedLC', 'FedDisco', 'FIPA'])[round % 5 + 1] as algorithm from r),
+b as (select *, case when algorithm = 'FIPA' and round < 8 then 'FedAvg' else algorithm end as rule from a),
+c as (select *, lag(rule) over (order by round) as pr, lag(total) over (order by round) as pt from b)
+select round, rule, case when pr is null then 0e0 when pr in ('FedAvg', 'FedProx', 'FedLC') then pt::double else 1e0 end as denominator, rule = 'FIPA' as snapshot from c"""
+
+
+def _training(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame]:
+    e = table(spark, sf_dir, "embeddings").select((F.col("vec_id") % 4).cast("int").alias("client"), "label", F.col("embedding").alias("vector"))
+    return e, e.select("label", "vector")
+
+
+def training_rounds(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Two rounds of plain averaging from zero weights: four clients step, the rule aggregates, all vectors are scored."""
+    rows, test = _training(spark, sf_dir)
+    out = rules.run_rounds(rows, test, 10, {"aggregation_algorithm": "FedAvg", "rounds": 2, "learning_rate": 0.5}).table(spark)
+    return rounded(out.select("round", "rule", "train_loss", "test_acc"), "train_loss", "test_acc")
+
+
+TRAINING_SQL = """with el as (select vec_id, label, unnest(embedding)::double as x, unnest(range(0, len(embedding))) as pos from embeddings), n as (select count(*) as n from embeddings),
+t1 as (select k, pos, -0.5e0 * sum(x * (0.1e0 - (label = k)::int)) / any_value(n) as w from el cross join range(10) t(k) cross join n group by 1, 2),
+z1 as (select vec_id, label, k, sum(w * x) as z from el join t1 using (pos) group by 1, 2, 3), p1 as (select *, exp(z) / sum(exp(z)) over (partition by vec_id) as p from z1),
+g2 as (select k, pos, sum(x * (p - (el.label = k)::int)) / any_value(n) as g from el join p1 using (vec_id) cross join n group by 1, 2),
+t2 as (select k, pos, w - 0.5e0 * g as w from t1 join g2 using (k, pos)), z2 as (select vec_id, label, k, sum(w * x) as z from el join t2 using (pos) group by 1, 2, 3)
+select 0::bigint as round, 'FedAvg' as rule, round(ln(10e0), 6) as train_loss, round((select avg((best = label)::int) from (select label, max_by(k, z) as best from z1 group by vec_id, label)), 6) as test_acc
+union all select 1, 'FedAvg', round((select avg(-ln(p)) from p1 where k = label), 6), round((select avg((best = label)::int) from (select label, max_by(k, z) as best from z2 group by vec_id, label)), 6)"""
+
+
+def aggregation_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """One round under every rule that works on sizes or skew, by name: the norm of the model that comes out."""
+    rows, _ = _training(spark, sf_dir)
+    updates_ = rules.local_updates(rows, np.zeros((10, 64)), 1.0)
+    context = {"counts": skew.class_counts(rows, "client", "label")}
+    out = None
+    for name in ("FedAvg", "FedProx", "FedLC", "FedDisco"):
+        one = rules.aggregate(name, updates_, context).agg(F.lit(name).alias("rule"), F.sqrt(F.sum(F.col("x") * F.col("x"))).alias("norm"))
+        out = one if out is None else out.union(one)
+    return rounded(out, "norm")
+
+
+RULES_SQL = """with el as (select vec_id % 4 as client, label, unnest(embedding)::double as x, unnest(range(0, len(embedding))) as pos from embeddings),
+c as (select vec_id % 4 as client, label, count(*) as n from embeddings group by 1, 2), s as (select client, sum(n) as n from c group by 1),
+k as (select count(distinct label) as k from embeddings),
+d as (select s.client, s.n, sqrt(sum(pow(coalesce(c.n, 0) / s.n - 1e0 / k, 2))) as d from s cross join (select distinct label from c) l cross join k left join c on c.client = s.client and c.label = l.label group by 1, 2),
+w as (select client, n / sum(n) over () as a, greatest(n / sum(n) over () - 0.5e0 * d + 0.1e0, 0) as sc from d), ww as (select client, a, case when sum(sc) over () > 0 then sc / sum(sc) over () else a end as b from w),
+u as (select client, k, pos, -sum(x * (0.1e0 - (label = k)::int)) / any_value(s.n) as v from el join s using (client) cross join range(10) t(k) group by 1, 2, 3),
+m as (select k, pos, sum(a * v) as x, sum(b * v) as y from u join ww using (client) group by 1, 2)
+select unnest(['FedAvg', 'FedProx', 'FedLC', 'FedDisco']) as rule, round(unnest([sqrt(sum(x * x)), sqrt(sum(x * x)), sqrt(sum(x * x)), sqrt(sum(y * y))]), 6) as norm from m"""
+
+
 def payload_descale(spark: SparkSession, sf_dir: str) -> DataFrame:
     e = table(spark, sf_dir, "embeddings").select("vec_id", F.explode(scalar.descale(F.transform("embedding", lambda x: x.cast("double")), (F.col("vec_id") % 3).cast("double"))).alias("x"), scalar.payload_guard(F.lit(None).cast("string"), "weights").alias("kind"))
     return rounded(e.groupBy("vec_id", "kind").agg(F.sum("x").alias("x")), "x")
@@ -133,6 +192,9 @@ PAIRS = {
     "running_best": (running_best, f"with {_H} select round, test_f1, max(test_f1) over (order by round) as best_so_far from h"),
     "early_stop": (early_stop, EARLY_SQL),
     "round_algorithm": (round_algorithm, ALGORITHM_SQL),
+    "round_algorithm_plain": (round_algorithm_plain, PLAIN_SQL),
+    "training_rounds": (training_rounds, TRAINING_SQL),
+    "aggregation_rules": (aggregation_rules, RULES_SQL),
     "payload_descale": (payload_descale, DESCALE_SQL),
     "late_updates_dropped": (late_updates_dropped, LATE_SQL),
     "latest_session": (latest_session, SESSION_SQL),
