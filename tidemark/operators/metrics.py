@@ -35,6 +35,15 @@ def classification(predictions: DataFrame, *keys: str) -> DataFrame:
     )
 
 
+def validation(predictions: DataFrame, splits: DataFrame) -> DataFrame:
+    """client, test_size, mean loss and weighted metrics of predictions (client, y_true, y_pred, loss); zeros for a client of ``splits`` without any."""
+    names = {"n_images": "test_size", "weighted_f1": "test_f1", "weighted_precision": "test_prec", "weighted_recall": "test_recall", "accuracy": "test_acc"}
+    scores = classification(predictions, "client").select("client", *[F.col(a).alias(b) for a, b in names.items()])
+    both = scores.join(predictions.groupBy("client").agg(F.avg("loss").alias("test_loss")), "client")
+    zero = lambda c: F.coalesce(c, F.lit(0)).alias(c)
+    return splits.select("client").distinct().join(both, "client", "left").select("client", *[zero(c) for c in both.columns if c != "client"])
+
+
 def latency(batches: DataFrame, *keys: str) -> DataFrame:
     """keys, num_batches, total_seconds, mean / median / p95 / first batch in ms, ms_per_image."""
     ms = lambda c: c * 1000.0

@@ -5,6 +5,8 @@ A state is long: (label, ch, mean, var), or with ``layer`` beside ``ch``.  Varia
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -110,21 +112,60 @@ def order_conflicts(adapted: DataFrame, used: DataFrame) -> DataFrame:
     return a.join(F.broadcast(d), F.col("a") < F.col("d")).select("adapted", "used")
 
 
-def sequential_states(rows: DataFrame, layers: list[str], vector: str = "x", eps: float = 1e-5) -> DataFrame:
-    """layer, ch, mean, var: each layer's moments once all layers before it normalise by theirs.
+#: How a state may be measured.
+METHODS = ("as-is", "batch-stats", "sequential")
+
 
-    The model is a chain of element-wise layers: layer k sees its input standardised and put through tanh.  One aggregate
-    per layer, in order, each over the data normalised so far; a layer's state is one small row set.
+def collect_states(
+    rows: DataFrame, layers: list[str], method: str = "as-is", vector: str = "x", stored: DataFrame | None = None, batch: str = "batch",
+    only: list[str] | None = None, max_batches: int | None = None, eps: float = 1e-5, progress: Callable[[int, int, str], None] | None = None,
+) -> DataFrame:
+    """layer, ch, mean, var: what each layer's input looks like.
+
+    The model is a chain of element-wise layers: layer k sees its input standardised and put through tanh.  By ``as-is`` the layers
+    before it normalise with their ``stored`` state (layer, ch, mean, var); by ``batch-stats`` with each batch's own moments; by
+    ``sequential`` with the state just measured, which is the one fixed point.  One aggregate per layer, in order; layers
+    after the last of ``only`` are never reached.  ``max_batches``: batches numbered below it, the same ones for every layer.
     """
-    out, data = None, rows.select(F.monotonically_increasing_id().alias("_id"), F.posexplode(vector).alias("ch", "x")).withColumn("x", F.col("x").cast("double"))
-    for name in layers:
+    if method not in METHODS:
+        raise ValueError(f"unknown method {method!r}")
+    if unknown := set(only or ()) - set(layers):
+        raise ValueError(f"not layers of this model: {sorted(unknown)}")
+    if method == "as-is" and stored is None:
+        raise ValueError("as-is needs the states that the layers carry")
+    wanted = only or layers
+    if max_batches is not None:
+        rows = rows.where(F.col(batch) < max_batches)
+    keys = [batch] if method == "batch-stats" else []
+    out, data = None, rows.select(*keys, F.posexplode(vector).alias("ch", "x")).withColumn("x", F.col("x").cast("double"))
+    for k, name in enumerate(layers[: max(map(layers.index, wanted)) + 1]):
         state = finish(partials(data, "ch")).select(F.lit(name).alias("layer"), "ch", "mean", "var")
-        out = state if out is None else out.unionByName(state)
-        s = F.broadcast(state.select("ch", "mean", "var"))
-        data = data.join(s, "ch").select("_id", "ch", F.tanh((F.col("x") - F.col("mean")) / F.sqrt(F.col("var") + eps)).alias("x"))
+        if name in wanted:
+            out = state if out is None else out.unionByName(state)
+        if progress:
+            progress(k + 1, len(layers), name)
+        if method == "as-is":
+            by = stored.where(F.col("layer") == name).select("ch", "mean", "var")
+        else:
+            by = finish(partials(data, *keys, "ch")).select(*keys, "ch", "mean", "var")
+        by = by if keys else F.broadcast(by)  # one row a channel
+        data = data.join(by, [*keys, "ch"]).select(*keys, "ch", F.tanh((F.col("x") - F.col("mean")) / F.sqrt(F.col("var") + eps)).alias("x"))
     return out
 
 
+def sequential_states(rows: DataFrame, layers: list[str], vector: str = "x", eps: float = 1e-5) -> DataFrame:
+    """layer, ch, mean, var: each layer's moments once all layers before it normalise by theirs."""
+    return collect_states(rows, layers, "sequential", vector, eps=eps)
+
+
+def load_state(current: DataFrame, new: DataFrame) -> DataFrame:
+    """The states that layers carry (layer, ch, mean, var) with those of ``new`` in their place; a layer or channel that the model lacks is an error."""
+    both = current.select("layer", "ch", F.col("mean").alias("m1"), F.col("var").alias("v1"), F.lit(True).alias("has"))
+    both = both.join(new.select("layer", "ch", F.col("mean").alias("m2"), F.col("var").alias("v2")), ["layer", "ch"], "full_outer")
+    mean = F.when(F.col("has").isNull(), F.raise_error(F.lit("the model has no such layer or channel")).cast("double")).otherwise(F.coalesce("m2", "m1"))
+    return both.select("layer", "ch", mean.alias("mean"), F.coalesce("v2", "v1").alias("var"))
+
+
 def normalise(rows: DataFrame, state: DataFrame, vector: str = "x", eps: float = 1e-5, *keys: str) -> DataFrame:
     """keys, ch, x standardised by a stored state, or by the batch's own moments if that is what ``state`` holds."""
     long = rows.select(*keys, F.posexplode(vector).alias("ch", "x")).withColumn("x", F.col("x").cast("double"))

@@ -12,6 +12,8 @@ from pyspark.sql import functions as F
 
 from tidemark.functions.scalar import symmetric_kl_term
 
+from . import moments
+
 #: The most rows (entries times channels) of a bank that is broadcast; a larger one is joined by shuffle on ``ch``.
 BROADCAST_ROWS = 2_000_000
 
@@ -70,6 +72,38 @@ def threshold_of(intra: DataFrame, percentile: float = 95.0) -> DataFrame:
     return intra.agg(F.percentile("distance", F.lit(percentile / 100)).alias("threshold"))
 
 
+def build_bank(rows: DataFrame, vector: str = "x", calibration: int = 8) -> tuple[DataFrame, DataFrame]:
+    """Entries (idx, label, ch, mean, var) of rows (condition, batch, vector), and the distances (label, batch, distance) of each
+    condition's first ``calibration`` batches to its own entry.  There must be a ``clean`` condition: without it undegraded batches
+    would be routed to the nearest corruption.
+    """
+    labels = sorted(r[0] for r in rows.select("condition").distinct().collect())  # a few dozen
+    if "clean" not in labels:
+        raise ValueError("the bank has no clean entry")
+    names = rows.sparkSession.createDataFrame(list(enumerate(["clean", *[x for x in labels if x != "clean"]])), "idx int, label string")
+    entries = moments.channel_moments(rows, vector, "condition").withColumnRenamed("condition", "label")
+    entries = entries.join(F.broadcast(names), "label").select("idx", "label", "ch", "mean", "var")
+    first = moments.channel_moments(rows.where(F.col("batch") < calibration), vector, "condition", "batch").withColumnRenamed("condition", "of")
+    own = distances(first, entries, "symmetric_kl", None, 1e-8, "of", "batch").where("of = label")
+    return entries, own.select("label", "batch", "distance")
+
+
+def stream_order(conditions: list[str], severities: list[int], revisit: bool = True) -> list[str]:
+    """Clean first, then the other conditions by name if their severity is wanted, then clean again."""
+    found = {}
+    for c in conditions:
+        name, _, tail = c.rpartition("_s")
+        found[c] = int(tail) if name and tail.isdigit() else None
+    rest = [c for c in sorted(found) if c != "clean" and found[c] in severities]
+    return ["clean", *rest, *(["clean_again"] if revisit else [])]
+
+
+def visit_order(batches: DataFrame) -> DataFrame:
+    """visit, condition: conditions (a few dozen) in the order in which the stream first shows them, a second visit to clean apart."""
+    first = batches.groupBy("condition").agg(F.min("seq").alias("seq"))
+    return first.select((F.row_number().over(Window.partitionBy(F.lit(0)).orderBy("seq")) - 1).alias("visit"), "condition")
+
+
 def lagged(batches: DataFrame, arm: str = "arm", seq: str = "seq", *columns: str) -> DataFrame:
     """Add ``prev_<column>``: what the batch before showed, across conditions; the first batch of an arm has null."""
     w = Window.partitionBy(arm).orderBy(seq)

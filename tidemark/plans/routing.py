@@ -256,8 +256,7 @@ def _centroids(spark: SparkSession, sf_dir: str) -> DataFrame:
 def predictions(spark: SparkSession, sf_dir: str) -> DataFrame:
     """condition, vec_id, y_true, y_pred: the nearest class centroid (10 rows of 64, broadcast) under each condition."""
     long = stream(spark, sf_dir).select("seq", "condition", "vec_id", F.col("label").alias("y_true"), F.posexplode("x").alias("ch", "x"))
-    d = long.join(F.broadcast(_centroids(spark, sf_dir)), "ch").groupBy("seq", "condition", "vec_id", "y_true", "y_pred").agg(F.round(F.sum(F.pow(F.col("x") - F.col("c"), F.lit(2.0))), 9).alias("d"))
-    return d.groupBy("seq", "condition", "vec_id", "y_true").agg(F.min(F.struct("d", "y_pred")).alias("m")).select("seq", "condition", "vec_id", "y_true", F.col("m.y_pred").alias("y_pred"))
+    return _nearest(long, _centroids(spark, sf_dir))
 
 
 _PRED = f"""ce as (select label as y_pred, ch, avg(v) as c from el group by 1, 2),
@@ -284,25 +283,40 @@ CLASS_SQL = f"with {_STREAM}, {_PRED}, {_class_sql('pr', 'condition')} select co
 
 
 def quality_rule_metrics(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """A length rule (500 characters or more) against the quality labels that there are."""
-    d = table(spark, sf_dir, "documents").select("doc_id", (F.col("n_chars") >= 500).cast("int").alias("y_pred"))
+    """A length rule (texts of 500 characters or more) against the quality labels that there are."""
+    d = table(spark, sf_dir, "documents").select("doc_id", (F.length("text") >= 500).cast("int").alias("y_pred"))
     rows = d.join(table(spark, sf_dir, "labels").select("doc_id", F.col("quality").alias("y_true")), "doc_id")
     return rounded(metrics.classification(rows), *_CM)
 
 
-QUALITY_SQL = f"with q as (select quality as y_true, (n_chars >= 500)::int as y_pred from documents join labels using (doc_id)), {_class_sql('q', '')} select n_images, correct, {', '.join(f'round({c}, 6) as {c}' for c in _CM)} from cm"
+QUALITY_SQL = f"with q as (select quality as y_true, (length(text) >= 500)::int as y_pred from documents join labels using (doc_id)), {_class_sql('q', '')} select n_images, correct, {', '.join(f'round({c}, 6) as {c}' for c in _CM)} from cm"
+
+
+def _nearest(long: DataFrame, centroids: DataFrame) -> DataFrame:
+    d = long.join(F.broadcast(centroids), "ch").groupBy("seq", "condition", "vec_id", "y_true", "y_pred").agg(F.round(F.sum(F.pow(F.col("x") - F.col("c"), F.lit(2.0))), 9).alias("d"))
+    return d.groupBy("seq", "condition", "vec_id", "y_true").agg(F.min(F.struct("d", "y_pred")).alias("m")).select("seq", "condition", "vec_id", "y_true", F.col("m.y_pred").alias("y_pred"))
+
+
+def blind_predictions(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """What the model says of batches standardised by their own moments and put on the clean state's."""
+    s = stream(spark, sf_dir)
+    own = moments.channel_moments(s, "x", "seq").select("seq", "ch", "mean", "var")
+    clean = bank(spark, sf_dir).where("label = 'clean'").select("ch", F.col("mean").alias("cm"), F.col("var").alias("cv"))
+    unit = moments.normalise(s, own, "x", 1e-5, "seq", "condition", "vec_id", "label").join(F.broadcast(clean), "ch")
+    long = unit.select("seq", "condition", "vec_id", F.col("label").alias("y_true"), "ch", (F.col("x") * F.sqrt(F.col("cv") + 1e-5) + F.col("cm")).alias("x"))
+    return _nearest(long, _centroids(spark, sf_dir))
 
 
 def _fact_rows(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """arm, condition rows: arm ``source`` as predicted, arm ``blind`` after standardising by the batch (here: clean predictions for contrast)."""
-    p = predictions(spark, sf_dir)
-    source = p.withColumn("arm", F.lit("source"))
-    blind = p.withColumn("arm", F.lit("blind")).withColumn("y_pred", F.when((F.col("condition") == "gaussian_noise_s5") & (F.col("vec_id") % 3 == 0), F.col("y_true")).otherwise(F.col("y_pred")))
-    return source.unionByName(blind)
+    """arm, condition rows: arm ``source`` as predicted, arm ``blind`` after adapting to the batch."""
+    source = predictions(spark, sf_dir).withColumn("arm", F.lit("source"))
+    return source.unionByName(blind_predictions(spark, sf_dir).withColumn("arm", F.lit("blind")))
 
 
-_FACTS = """fr as (select 'source' as arm, * from pr union all
-  select 'blind', seq, condition, vec_id, y_true, case when condition = 'gaussian_noise_s5' and vec_id % 3 = 0 then y_true else y_pred end from pr)"""
+_FACTS = """bx as (select st.seq, st.condition, st.vec_id, st.label as y_true, st.ch, (x - ds.mean) / sqrt(ds.var + 1e-5) * sqrt(k.var + 1e-5) + k.mean as x from st join ds on st.seq = ds.seq and st.ch = ds.ch
+  join (select ch, mean, var from bk where label = 'clean') k on k.ch = st.ch),
+bp as (select seq, condition, vec_id, y_true, y_pred, round(sum(pow(x - c, 2)), 9) as d from bx join ce using (ch) group by 1, 2, 3, 4, 5),
+fr as (select 'source' as arm, * from pr union all select 'blind', seq, condition, vec_id, y_true, min_by(y_pred, (d, y_pred)) as y_pred from bp group by 1, 2, 3, 4, 5)"""
 
 
 def _timed(rows: DataFrame) -> DataFrame:
@@ -348,7 +362,7 @@ def family_summary(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rounded(metrics.family_summary(_scored(spark, sf_dir)), "accuracy", "macro_f1")
 
 
-_SCORED = f"{_STREAM}, {_PRED}, {_FACTS}, {_class_sql('fr', 'arm, condition')}, {_WILSON}, {_NAMED}"
+_SCORED = f"{_STREAM}, {_DESC}, {_BANK}, {_PRED}, {_FACTS}, {_class_sql('fr', 'arm, condition')}, {_WILSON}, {_NAMED}"
 FAMILY_SQL = f"""with {_SCORED} select arm, family, count(*)::bigint as num_conditions, sum(n_images)::bigint as n_images, sum(correct)::bigint as correct,
   round(sum(correct) / sum(n_images), 6) as accuracy, round(sum(macro_f1 * n_images) / sum(n_images), 6) as macro_f1 from nf group by 1, 2"""
 
@@ -374,6 +388,66 @@ def latency_summary(spark: SparkSession, sf_dir: str) -> DataFrame:
 LATENCY_SQL = """select event_type, count(*)::bigint as num_batches, round(sum(value / 1000), 6) as total_seconds, round(avg(value), 6) as mean_ms_per_batch, round(quantile_cont(value, 0.5), 6) as median_ms_per_batch,
   round(quantile_cont(value, 0.95), 6) as p95_ms_per_batch, round(min_by(value, event_id), 6) as first_batch_ms, round(sum(value) / (128 * count(*)), 6) as ms_per_image from events group by 1"""
 
+def state_methods(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Two layers' states by each method of measuring; the layers carry the standard state (mean 0, variance 1)."""
+    e = table(spark, sf_dir, "embeddings").withColumn("batch", F.floor(F.col("vec_id") / SIZE))
+    stored = spark.range(64).select(F.explode(F.array(F.lit("l0"), F.lit("l1"))).alias("layer"), F.col("id").cast("int").alias("ch"), F.lit(0.0).alias("mean"), F.lit(1.0).alias("var"))
+    out = None
+    for method in moments.METHODS:
+        one = moments.collect_states(e, ["l0", "l1"], method, "embedding", stored).withColumn("method", F.lit(method))
+        out = one if out is None else out.union(one)
+    return rounded(out, "mean", "var")
+
+
+METHODS_SQL = f"""with el as (select vec_id // {SIZE} as batch, unnest(embedding)::double as x, unnest(range(0, len(embedding))) as ch from embeddings),
+m as (select ch, avg(x) as mean, greatest(avg(x * x) - avg(x) * avg(x), 0) as var from el group by 1),
+mb as (select batch, ch, avg(x) as mean, greatest(avg(x * x) - avg(x) * avg(x), 0) as var from el group by 1, 2),
+n as (select 'as-is' as method, ch, tanh(x / sqrt(1 + 1e-5)) as x from el union all select 'batch-stats', el.ch, tanh((x - mean) / sqrt(var + 1e-5)) from el join mb on el.ch = mb.ch and el.batch = mb.batch
+  union all select 'sequential', ch, tanh((x - mean) / sqrt(var + 1e-5)) from el join m using (ch))
+select method, 'l0' as layer, ch::int as ch, round(mean, 6) as mean, round(var, 6) as var from m cross join (select unnest(['as-is', 'batch-stats', 'sequential']) as method) union all
+select method, 'l1', ch::int, round(avg(x), 6), round(greatest(avg(x * x) - avg(x) * avg(x), 0), 6) from n group by method, ch"""
+
+
+def bank_calibration(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Distances of each condition's first eight batches to its own entry, and the 95th percentile over them all."""
+    s = stream(spark, sf_dir).where(F.col("condition").isin(*BANK)).withColumn("batch", F.col("seq") % 100_000)
+    _, own = routing.build_bank(s, "x", 8)
+    t = routing.threshold_of(own)
+    return rounded(own.crossJoin(F.broadcast(t)), "distance", "threshold")
+
+
+CALIBRATION_SQL = f"""with {_STREAM}, {_DESC}, {_BANK}, o as (select b.label, seq % 100000 as batch, {_KL} as distance from ds d join bk b on d.ch = b.ch and d.condition = b.label where seq % 100000 < 8 group by 1, 2)
+select label, batch, round(distance, 6) as distance, round((select quantile_cont(distance, 0.95) from o), 6) as threshold from o"""
+
+
+def stream_order(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The stream over all planned conditions of severities 3 and 5."""
+    names = [f"{c}_s{s}" for c in scalar.SEEN + scalar.UNSEEN for s in scalar.SEVERITIES] + ["clean"]
+    return spark.createDataFrame(list(enumerate(routing.stream_order(names, [3, 5]))), "visit int, condition string")
+
+
+ORDER_SQL = f"""with c as (select c || '_s' || s as condition from (select unnest([{", ".join(repr(c) for c in scalar.SEEN + scalar.UNSEEN)}]) as c) cross join (select unnest([3, 5]) as s)),
+o as (select 0 as part, 'clean' as condition union all select 1, condition from c union all select 2, 'clean_again')
+select (row_number() over (order by part, condition) - 1)::int as visit, condition from o"""
+
+
+def visit_order(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return routing.visit_order(stream(spark, sf_dir))
+
+
+def validation_metrics(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Clients by vec_id mod 8, of which 7 holds no validation rows; the squared distance stands for the loss."""
+    long = stream(spark, sf_dir).where("condition = 'clean'").select("seq", "condition", "vec_id", F.col("label").alias("y_true"), F.posexplode("x").alias("ch", "x"))
+    near = _nearest(long, _centroids(spark, sf_dir)).withColumn("client", F.col("vec_id") % 8).where("client < 7").withColumn("loss", F.col("vec_id") / 100.0)
+    out = metrics.validation(near, spark.range(8).toDF("client"))
+    return rounded(out, "test_loss", "test_f1", "test_prec", "test_recall", "test_acc")
+
+
+VALIDATION_SQL = f"""with {_STREAM}, {_PRED}, v as (select vec_id % 8 as client, y_true, y_pred, vec_id / 100e0 as loss from pr where condition = 'clean' and vec_id % 8 < 7), {_class_sql('v', 'client')},
+ls as (select client, avg(loss) as l from v group by 1)
+select k as client, coalesce(n_images, 0)::bigint as test_size, round(coalesce(l, 0), 6) as test_loss, round(coalesce(weighted_f1, 0), 6) as test_f1, round(coalesce(weighted_precision, 0), 6) as test_prec,
+  round(coalesce(weighted_recall, 0), 6) as test_recall, round(coalesce(accuracy, 0), 6) as test_acc from range(8) t(k) left join cm on cm.client = k left join ls on ls.client = k"""
+
 PAIRS = {
     "channel_moments": (channel_moments, CHANNEL_SQL),
     "federated_moments": (federated_moments, FEDERATED_SQL),
@@ -402,4 +476,9 @@ PAIRS = {
     "accuracy_by_arm": (accuracy_by_arm, f"with {_SCORED} select arm, sum(n_images)::bigint as n_images, round(sum(correct) / sum(n_images), 6) as accuracy from nf group by 1"),
     "arm_difference": (arm_difference, DIFFERENCE_SQL),
     "latency_summary": (latency_summary, LATENCY_SQL),
+    "state_methods": (state_methods, METHODS_SQL),
+    "bank_calibration": (bank_calibration, CALIBRATION_SQL),
+    "stream_order": (stream_order, ORDER_SQL),
+    "visit_order": (visit_order, f"select visit, condition from (values {_CONDITIONS_SQL}) t(visit, condition)"),
+    "validation_metrics": (validation_metrics, VALIDATION_SQL),
 }
