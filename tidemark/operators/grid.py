@@ -99,3 +99,24 @@ def symmetric_difference(one: DataFrame, two: DataFrame, column: str) -> DataFra
     """Values that only one side has."""
     a, b = one.select(column), two.select(column)
     return a.exceptAll(b).union(b.exceptAll(a)).distinct()
+
+
+#: Augmentations that are refused, and classes that mirror each other.
+REFUSED_KEYS = ("augmentation_horizontal_flip", "augmentation_vertical_flip", "augmentation_brightness", "augmentation_contrast", "augmentation_blur", "augmentation_noise")
+MIRROR_CLASS_PAIRS = ((19, 20), (33, 34), (36, 37), (38, 39))
+
+
+def augmentation(config: dict) -> dict | None:
+    """degrees, translate and scale of a run's augmentation, or None if it is off.
+
+    Refused keys are an error even then: flips change the class of mirrored signs, and the others would train on what is measured.
+    """
+    if bad := [k for k in REFUSED_KEYS if k in config]:
+        raise ValueError(f"{bad[0]} is not available")
+    if not config.get("train_augmentation"):
+        return None
+    degrees, translate = (float(config.get(f"augmentation_{k}", v)) for k, v in (("rotation_degrees", 10.0), ("translate", 0.1)))
+    scale = tuple(map(float, config.get("augmentation_scale", (0.9, 1.1))))
+    if not (0 <= degrees < 180 and 0 <= translate < 1 and len(scale) == 2 and 0 < scale[0] <= scale[1]):
+        raise ValueError(f"augmentation out of range: {degrees} degrees, {translate}, {scale}")
+    return {"degrees": degrees, "translate": translate, "scale": scale}

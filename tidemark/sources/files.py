@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import json
+from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
@@ -20,6 +21,19 @@ def scan_classes(spark: SparkSession, root: str, suffixes: tuple[str, ...] = SUF
     return out.where(F.lower("filename").rlike("(" + "|".join(s.replace(".", r"\.") for s in suffixes) + ")$"))
 
 
+def class_directories(spark: SparkSession, root: str) -> list[str]:
+    """Names of the class directories below ``root``, sorted; a root that is not there, or without any, is an error."""
+    jvm = spark.sparkContext._jvm
+    path = jvm.org.apache.hadoop.fs.Path(root)
+    fs = path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
+    if not fs.exists(path):
+        raise FileNotFoundError(root)
+    names = sorted(s.getPath().getName() for s in fs.listStatus(path) if s.isDirectory())
+    if not names:
+        raise ValueError(f"no class directories below {root}")
+    return names
+
+
 def class_map(dirs: DataFrame) -> DataFrame:
     """dir, class_id: the first run of digits if every name has one and no two agree, else the alphabetical rank.
 
@@ -48,9 +62,15 @@ def require_complete(have: DataFrame, canonical: DataFrame, column: str = "dir")
     return have
 
 
+#: The most classes of a map that is broadcast.
+MOST_CLASSES = 1_000_000
+
+
 def relabel(rows: DataFrame, canonical: DataFrame, column: str = "dir") -> DataFrame:
     """Rows with their canonical ``class_id``; a class that the map lacks is an error where it is met. Doing it twice changes nothing."""
-    out = rows.drop("class_id").join(F.broadcast(canonical.select(column, "class_id")), column, "left")
+    known = canonical.select(column, "class_id")
+    known = F.broadcast(known) if known.limit(MOST_CLASSES + 1).count() <= MOST_CLASSES else known
+    out = rows.drop("class_id").join(known, column, "left")
     return out.withColumn("class_id", F.when(F.col("class_id").isNull(), F.raise_error(F.concat(F.lit("unknown class "), column)).cast("long")).otherwise(F.col("class_id")))
 
 
@@ -132,3 +152,52 @@ def read_checkpoint(spark: SparkSession, path: str) -> tuple[DataFrame, dict]:
 
 def write_manifest(spark: SparkSession, facts: dict, path: str) -> None:
     spark.createDataFrame([(json.dumps(facts, sort_keys=True),)], "value string").coalesce(1).write.mode("overwrite").text(path)
+
+
+def checkpoint_stem(config: dict, stamp: str) -> str:
+    """A name that says what the model is; characters that files should not have become dashes."""
+    split = f"a{config.get('dirichlet_alpha')}" if config.get("partition_strategy") == "dirichlet" else "iid"
+    parts = [config.get("dataset_name", "dataset"), config.get("model_name", "model"), config.get("aggregation_algorithm", "FedAvg"), split]
+    parts += [f"c{config.get('num_clients')}", f"le{config.get('local_epoch')}", f"seed{config.get('seed')}", stamp]
+    return "".join(c if c.isalnum() or c in "._-" else "-" for c in "_".join(map(str, parts)))
+
+
+def save_best(params: DataFrame | None, path: str, metadata: dict, denominator: float = 1.0, encrypted: bool = False, log: Callable[[str], None] = print) -> str | None:
+    """Write the best model if there is one that can be read; else say why not and return None. A failure to write is told, not raised."""
+    if params is None:
+        log("no checkpoint: no round improved on the first score")
+        return None
+    if encrypted:
+        log("no checkpoint: the parameters are ciphertexts, and the server has no key")
+        return None
+    try:
+        write_checkpoint(params, path, metadata, denominator)
+    except Exception as e:  # the run's results stand without it
+        log(f"the checkpoint could not be written: {e}")
+        return None
+    return path
+
+
+def save_recalibrated(spark: SparkSession, path: str, state: DataFrame, target: str, source: str, on: str | None = None, images: int | None = None) -> dict:
+    """A second checkpoint beside the first: its parameters, and the states (layer, ch, mean, var) measured since; returns its metadata."""
+    params, metadata = read_checkpoint(spark, path)
+    facts = state.agg(F.countDistinct("layer"), F.count("*")).first()
+    metadata |= {"bn_stats_source": source, "bn_stats_recalibrated_on": on, "bn_stats_num_images": images, "bn_stats_num_layers": facts[0], "bn_stats_num_channels": facts[1]}
+    write_checkpoint(params, target, metadata)
+    state.select("layer", "ch", "mean", "var").write.mode("overwrite").parquet(f"{target}/bn_stats")
+    return metadata
+
+
+def checkpoint_states(spark: SparkSession, path: str) -> DataFrame | None:
+    """The recalibrated states that a checkpoint carries; None: it still has those that it was trained from."""
+    _, metadata = read_checkpoint(spark, path)
+    return spark.read.parquet(f"{path}/bn_stats") if metadata.get("bn_stats_source") else None
+
+
+def write_records(batches: DataFrame, conditions: DataFrame, summary: dict, path: str) -> None:
+    """Batch records and condition rows as CSV, and the summary as JSON, under one folder; no batch is an error."""
+    if batches.isEmpty():
+        raise ValueError("no batch records to write")
+    write_csv(batches, f"{path}/batches")
+    write_csv(conditions, f"{path}/conditions")
+    write_manifest(batches.sparkSession, summary | {"files": {k: f"{path}/{k}" for k in ("batches", "conditions")}}, f"{path}/summary")
