@@ -8,7 +8,7 @@ from pyspark.errors import PySparkException
 from pyspark.sql import functions as F
 
 from tidemark.functions import scalar
-from tidemark.operators import fipa, fixedpoint, grid, metrics, moments, partition, rounds, routing, skew, vectors
+from tidemark.operators import fipa, fixedpoint, grid, metrics, moments, partition, rounds, routing, rules, skew, vectors
 from tidemark.sources import files
 
 
@@ -153,12 +153,227 @@ def test_factors_and_diagnostics(spark):
 
 def test_paillier_round_trip():
     keys, noise = fixedpoint.Keys.make(128, seed=3), random.Random(1)
+    public = keys.public
     for m in (0, 1, -1, 2**52, -(2**60)):
-        assert keys.decrypt(keys.encrypt(m, noise)) == m
-    a, b = keys.encrypt(41, noise), keys.encrypt(-20, noise)
+        assert keys.decrypt(public.encrypt(m, noise)) == m == keys.decrypt(public.encrypt(m))
+    a, b = public.encrypt(41, noise), public.encrypt(-20, noise)
     assert keys.decrypt(a * pow(b, 2, keys.n**2) % keys.n**2) == 1
+    assert public.encrypt(41) != public.encrypt(41) and not hasattr(public, "secret")
+    assert fixedpoint.Keys.make(128) != fixedpoint.Keys.make(128)
     with pytest.raises(ValueError):
-        keys.encrypt(keys.n, noise)
+        public.encrypt(keys.n, noise)
+
+
+def test_encrypted_round_equals_plain(spark):
+    """Preconditioners and projections of real factors, at several scales of the movement."""
+    keys, rng = fixedpoint.Keys.make(384, seed=3), np.random.default_rng(4)
+    for scale in (1e-1, 1e-6):
+        c = [x | {"delta": [v * scale for v in x["delta"]]} for x in clients_of(rng, p=8, r=2, m=3)]
+        df = spark.createDataFrame([tuple(x.values()) for x in c], SCHEMA)
+        operators, z = fipa.preconditioners(df), fipa.project_deltas(df)
+        want = [r["x"] for r in fipa.preconditioned_sum(df).orderBy("pos").collect()]
+        sent = fixedpoint.encrypt_projection(z, keys.public)
+        got = fixedpoint.decrypted_values(fixedpoint.encrypted_increment(operators, sent, keys.public), keys)
+        assert [r["x"] for r in got.orderBy("pos").collect()] == pytest.approx(want, rel=1e-6, abs=1e-13)
+        model = spark.createDataFrame([(k, 0.5 * k) for k in range(8)], "pos int, x double")
+        out = fixedpoint.decrypted_values(fixedpoint.preconditioned_round(model, 0, operators, sent, keys.public), keys)
+        assert [r["x"] for r in out.orderBy("pos").collect()] == pytest.approx([0.5 * k + w for k, w in enumerate(want)], rel=1e-9, abs=1e-12)
+        plain = fixedpoint.add_increment(model, fipa.preconditioned_sum(df))
+        assert [r["x"] for r in plain.orderBy("pos").collect()] == pytest.approx([0.5 * k + w for k, w in enumerate(want)])
+
+
+def test_encrypted_round_refuses(spark):
+    keys = fixedpoint.Keys.make(128, seed=3)
+    operators = spark.createDataFrame([(0, 0, 0, 1.0), (1, 0, 0, 1.0)], "client int, j int, pos int, x double")
+    z = spark.createDataFrame([(0, 0, 1.0)], "client int, j int, z double")
+    with pytest.raises(ValueError, match="pair up"):
+        fixedpoint.integer_increment(operators, z)
+    with pytest.raises(ValueError, match="no clients"):
+        fixedpoint.integer_increment(operators.limit(0), z.limit(0))
+    with pytest.raises(ValueError, match="rounds to zero"):
+        fixedpoint.encrypted_increment(operators.where("client = 0").withColumn("x", F.lit(1e-30)), fixedpoint.encrypt_projection(z, keys.public), keys.public)
+    with pytest.raises(ValueError):
+        fixedpoint.on_grid(1e-30, 52)
+    assert fixedpoint.on_grid(0.0, 52) == 0 and fixedpoint.on_grid(1.0, 52) == 2**52
+    model = spark.createDataFrame([(0, 1.0), (1, 1.0)], "pos int, x double")
+    with pytest.raises(PySparkException):
+        fixedpoint.add_increment(model, spark.createDataFrame([(0, 1.0)], "pos int, x double")).collect()
+
+
+def test_server_guards(spark):
+    c = spark.createDataFrame([tuple(x.values()) for x in clients_of(np.random.default_rng(1))], SCHEMA)
+    theta = spark.range(20).select(F.col("id").cast("int").alias("pos"), F.lit(1.0).alias("x"))
+    with pytest.raises(ValueError, match="snapshot"):
+        fipa.server_round(None, c)
+    with pytest.raises(ValueError, match="factors"):
+        fipa.server_round(theta, c.drop("curvature"))
+    with pytest.raises(ValueError, match="factors"):
+        fipa.server_round(theta, c.withColumn("curvature", F.when(F.col("client") > 0, F.col("curvature"))))
+    assert fipa.server_round(theta, c).count() == 20
+    told = spark.createDataFrame([(0.5,), (float("nan"),), (None,), (0.7,)], "explained double")
+    assert one(fipa.mean_explained(told))[0] == pytest.approx(0.6)
+
+
+def test_numbered_equals_one_window(spark):
+    from pyspark.sql import Window
+
+    rows = spark.range(3000).select("id", F.when(F.col("id") % 7 < 5, "big").when(F.col("id") % 7 == 5, "small").alias("k"))
+    order = [partition.seeded("id"), F.col("id")]
+    w = Window.partitionBy("k").orderBy(*order)
+    want = {r["id"]: r["n"] for r in rows.withColumn("n", F.row_number().over(w)).collect()}
+    got = partition.numbered(rows, "n", order, "k")
+    assert {r["id"]: r["n"] for r in got.collect()} == want
+    assert sorted(r["n"] for r in partition.numbered(rows, "n", order, slots=7).collect()) == list(range(1, 3001))
+
+
+def test_units_of_text_tracks(spark):
+    rows = spark.createDataFrame([(k % 3, f"{'ab'[k % 2]}é track {k % 11}") for k in range(200)], "label int, track string")
+    got = [(r["label"], r["track"]) for r in partition.units(rows, "label", "track").orderBy("unit").collect()]
+    assert got == sorted(set(got), key=lambda x: (x[0], x[1].encode()))
+
+
+def test_split_settings(spark):
+    rows = spark.range(300).select("id", (F.col("id") % 3).alias("label"), F.floor(F.col("id") / 5).alias("track"))
+    for bad in ({"partition_strategy": "other"}, {"partition_unit": "frame"}, {"dirichlet_alpha": 0}):
+        with pytest.raises(ValueError):
+            partition.split_settings({"num_clients": 2} | bad)
+    with pytest.raises(ValueError):
+        partition.split_by({"num_clients": 2}, rows.limit(0), "label", "track", "id")
+    out = partition.split_by({"num_clients": 3, "partition_strategy": "dirichlet", "dirichlet_alpha": 10.0, "partition_unit": "image", "max_units_per_class": 40}, rows, "label", "track", "id")
+    assert out.count() == 120 and out.groupBy("label").count().where("count <> 40").count() == 0
+
+
+def test_rules_by_name(spark):
+    updates = spark.createDataFrame([(0, 1, [1.0, 2.0]), (1, 3, [5.0, 2.0])], "client int, n long, vector array<double>")
+    assert [r["x"] for r in rules.aggregate("FedAvg", updates).orderBy("pos").collect()] == [4.0, 2.0]
+    with pytest.raises(ValueError):
+        rules.aggregate("Other", updates)
+    with pytest.raises(ValueError):
+        rules.effective_rule("Other", 0, 0)
+    assert (rules.effective_rule("FIPA", 1, 2), rules.effective_rule("FIPA", 2, 2)) == ("FedAvg", "FIPA")
+
+
+@pytest.mark.parametrize("rule", ["FedAvg", "FedLC", "FedDisco", "FIPA"])
+def test_training_learns_and_stops(spark, rule):
+    rng = np.random.default_rng(5)
+    centres = np.eye(3, 6) * 3
+    rows = [(k % 3, k % 2 if k % 5 else 2, (centres[k % 3] + rng.normal(size=6) * 0.3).tolist()) for k in range(150)]
+    frame = spark.createDataFrame([(c, y, v) for y, c, v in rows], "client int, label int, vector array<double>")
+    seen = []
+    config = {"aggregation_algorithm": rule, "rounds": 4, "learning_rate": 0.5, "fipa_warmup_rounds": 2, "fipa_rank": 2, "patience": 3}
+    out = rules.run_rounds(frame, frame, 3, config, seen.append)
+    assert out.history == seen and len(seen) == 4 and max(h["test_acc"] for h in seen) > 0.95 and out.best is not None
+    assert [h["rule"] for h in seen][:2] == [rule if rule != "FIPA" else "FedAvg"] * 2 and seen[-1]["rule"] == rule
+    assert out.table(spark).count() == 4
+    wild = rules.run_rounds(frame.withColumn("label", F.pmod(F.xxhash64("vector"), F.lit(3)).cast("int")), frame, 3, {"rounds": 30, "learning_rate": 40.0, "patience": 1})
+    assert wild.stopped is not None and len(wild.history) < 30
+    with pytest.raises(ValueError):
+        rules.run_rounds(frame.limit(0), frame, 3, {})
+
+
+def test_corruptions(spark):
+    from tidemark.operators import corruptions
+
+    rows = spark.createDataFrame([(1, [0.1 * k for k in range(16)])], "id long, v array<double>")
+    plan = partition.conditions(spark, sorted(set(scalar.FAMILIES) - {"clean"}), [1, 5])
+    got = corruptions.corrupt(rows, "v", plan, "id").collect()
+    assert len(got) == 38 and all(len(r["x"]) == 16 for r in got)
+    moved = {(r["corruption"], r["severity"]): float(np.abs(np.array(r["x"]) - np.array(r["v"])).sum()) for r in got}
+    assert sum(moved[c, 5] >= moved[c, 1] for c, _ in moved) >= 34 and all(moved[c, 5] > 0 for c, _ in moved)
+    with pytest.raises(PySparkException):
+        corruptions.corrupt(rows, "v", partition.conditions(spark, ["rain"], [1]), "id").collect()
+
+
+def test_only_sequential_states_are_a_fixed_point(spark):
+    rows = spark.createDataFrame([(k // 10, [float((k * 7) % 13), float(k % 5) * 3 - 4]) for k in range(60)], "batch int, x array<double>")
+    layers, shift = ["a", "b", "c"], {}
+    stored = spark.createDataFrame([(layer, c, 0.0, 1.0) for layer in layers for c in (0, 1)], "layer string, ch int, mean double, var double")
+    for method in moments.METHODS:
+        state = moments.collect_states(rows, layers, method, stored=stored)
+        again = moments.collect_states(rows, layers, "as-is", stored=state)
+        shift[method] = one(moments.residual(again, state))["mean_shift"]
+    assert shift["sequential"] == pytest.approx(0, abs=1e-9) and shift["as-is"] > shift["batch-stats"] > 1e-6
+    seen = []
+    part = moments.collect_states(rows, layers, "sequential", only=["b"], max_batches=3, progress=lambda *a: seen.append(a))
+    assert {r["layer"] for r in part.collect()} == {"b"} and seen == [(1, 3, "a"), (2, 3, "b")]
+    loaded = moments.load_state(stored, part)
+    assert loaded.count() == 6 and loaded.where("layer = 'a' and var = 1").count() == 2
+    for bad in ({"method": "other"}, {"method": "as-is"}, {"method": "sequential", "only": ["z"]}):
+        with pytest.raises(ValueError):
+            moments.collect_states(rows, layers, **bad)
+    with pytest.raises(PySparkException):
+        moments.load_state(stored, part.withColumn("layer", F.lit("z"))).collect()
+
+
+def test_bank_and_stream_order(spark):
+    assert routing.stream_order(["fog_s3", "clean", "blur_s1", "blur_s3"], [3]) == ["clean", "blur_s3", "fog_s3", "clean_again"]
+    rows = spark.createDataFrame([(c, b, [float(b + k), 1.0 * k]) for c in ("clean", "fog_s1") for b in range(10) for k in range(4)], "condition string, batch int, x array<double>")
+    entries, own = routing.build_bank(rows, "x", 8)
+    assert entries.where("idx = 0 and label = 'clean'").count() == 2 and own.groupBy("label").count().where("count <> 8").count() == 0
+    with pytest.raises(ValueError):
+        routing.build_bank(rows.where("condition <> 'clean'"))
+
+
+def test_augmentation_settings():
+    assert grid.augmentation({}) is None
+    assert grid.augmentation({"train_augmentation": True}) == {"degrees": 10.0, "translate": 0.1, "scale": (0.9, 1.1)}
+    for bad in ({k: False} for k in grid.REFUSED_KEYS):
+        with pytest.raises(ValueError):
+            grid.augmentation(bad)
+    for k, v in (("rotation_degrees", 180), ("translate", 1.0), ("scale", (1.1, 0.9)), ("scale", (1.0,))):
+        with pytest.raises(ValueError):
+            grid.augmentation({"train_augmentation": True, f"augmentation_{k}": v})
+
+
+def test_best_and_recalibrated_checkpoints(spark, tmp_path):
+    params, told = spark.createDataFrame([("w", [2], [2.0, 4.0])], "layer string, shape array<int>, values array<double>"), []
+    assert files.save_best(None, str(tmp_path / "a"), {}, log=told.append) is None
+    assert files.save_best(params, str(tmp_path / "a"), {}, encrypted=True, log=told.append) is None
+    assert files.save_best(params, "nowhere://x/y", {}, log=told.append) is None and len(told) == 3
+    assert files.save_best(params, str(tmp_path / "a"), {"round": 1}, 2.0)
+    assert files.checkpoint_states(spark, str(tmp_path / "a")) is None
+    state = spark.createDataFrame([("bn1", 0, 0.5, 2.0), ("bn1", 1, 0.1, 1.0), ("bn2", 0, 0.0, 1.0)], "layer string, ch int, mean double, var double")
+    facts = files.save_recalibrated(spark, str(tmp_path / "a"), state, str(tmp_path / "b"), "pooled", "clean", 100)
+    assert (facts["bn_stats_num_layers"], facts["bn_stats_num_channels"], facts["round"]) == (2, 3, 1)
+    assert sorted(map(tuple, files.checkpoint_states(spark, str(tmp_path / "b")).collect())) == sorted(map(tuple, state.collect()))
+    assert files.checkpoint_stem({"partition_strategy": "dirichlet", "dirichlet_alpha": 0.5, "num_clients": 4, "local_epoch": 1, "seed": 7}, "now 1") == "dataset_model_FedAvg_a0.5_c4_le1_seed7_now-1"
+    files.write_records(state, state, {"arms": ["source"]}, str(tmp_path / "r"))
+    assert spark.read.csv(str(tmp_path / "r" / "batches"), header=True).count() == 3
+    with pytest.raises(ValueError):
+        files.write_records(state.limit(0), state, {}, str(tmp_path / "r"))
+    (tmp_path / "tree" / "00002").mkdir(parents=True)
+    assert files.class_directories(spark, str(tmp_path / "tree")) == ["00002"]
+    with pytest.raises(FileNotFoundError):
+        files.class_directories(spark, str(tmp_path / "gone"))
+    with pytest.raises(ValueError):
+        files.class_directories(spark, str(tmp_path / "tree" / "00002"))
+
+
+def test_seeds_by_checksum(spark):
+    import zlib
+
+    assert one(spark.range(1).select(scalar.shuffle_seed(F.lit("clean"), 5)))[0] == (5 + zlib.crc32(b"clean")) % 2**31
+
+
+def test_stream_progress(spark, tmp_path):
+    from tidemark.streaming import streams
+
+    spark.range(10).repartition(2).write.parquet(str(tmp_path / "in"))
+    seen, listener = [], None
+    listener = streams.Progress(lambda name, batch, rows: seen.append((name, rows)))
+    spark.streams.addListener(listener)
+    try:
+        out = streams.drain(streams.source(spark, str(tmp_path / "in"), spark.range(1).schema), "told")
+        assert out.count() == 10
+        for _ in range(50):
+            if sum(n for name, n in seen if name == "told") == 10:
+                break
+            import time
+
+            time.sleep(0.1)
+        assert sum(n for name, n in seen if name == "told") == 10
+    finally:
+        spark.streams.removeListener(listener)
 
 
 def test_fixed_point_refuses(spark):
