@@ -83,6 +83,9 @@ class HotKeys:
 
     def __init__(self, counts: DataFrame, keys: list[str], total: int, least: int = 1000, most: int = 100_000):
         self.keys, limit = keys, max(least, total // most)
+        self.any = total > limit  # else no key can be hot
+        if not self.any:
+            return
         hot = counts.where(F.col("n") > limit).select(*keys, F.ceil(F.col("n") / limit).cast("int").alias("_salts"))
         self.hot = cut(hot, "hot")
         self.any = not self.hot.isEmpty()

@@ -179,20 +179,23 @@ def confirm(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
 def components(links: DataFrame, name: str = "components") -> DataFrame:
     """node, component (its smallest reachable node) of every node of the links (a, b).
 
-    Large-star and small-star rounds: each is two aggregations with map-side minima, so a node with very many
-    neighbours costs no task more than its share; links that stay the same end the loop.
+    Large-star and small-star rounds: each is two aggregations with map-side minima, and a node with very many
+    neighbours is dealt over tasks where its minimum goes back to them; links that stay the same end the loop.
     """
+    fact = lambda df: tuple(df.agg(F.count("*"), F.sum(F.xxhash64("a", "b").cast("decimal(38,0)"))).collect()[0])
     links = cut(links.where("a <> b").select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).distinct(), name)
-    before = None
+    before = fact(links)
     while True:
         both = links.union(links.select(F.col("b").alias("a"), F.col("a").alias("b")))
-        least = both.groupBy("a").agg(F.min("b").alias("m")).select("a", F.least("a", "m").alias("m"))
-        large = both.where("b > a").join(least, "a").select(F.col("b").alias("a"), F.col("m").alias("b")).distinct()
-        low = large.groupBy("a").agg(F.min("b").alias("m"))
-        joined = large.join(low, "a")
+        least = both.groupBy("a").agg(F.min("b").alias("m"), F.count("*").alias("n"))
+        hubs = HotKeys(least.select("a", "n"), ["a"], 2 * before[0])
+        large = hubs.join(both.where("b > a"), least.select("a", F.least("a", "m").alias("m")), ["b"]).select(F.col("b").alias("a"), F.col("m").alias("b")).distinct()
+        large = cut(large, name)
+        low = large.groupBy("a").agg(F.min("b").alias("m"), F.count("*").alias("n"))
+        joined = HotKeys(low.select("a", "n"), ["a"], 2 * before[0]).join(large, low.select("a", "m"), ["b"])
         small_ = joined.select(F.col("b").alias("a"), F.col("m").alias("b")).union(low.select("a", F.col("m").alias("b"))).where("a <> b").distinct()
         links = cut(small_, name)
-        state = tuple(links.agg(F.count("*"), F.sum(F.xxhash64("a", "b").cast("decimal(38,0)"))).collect()[0])
+        state = fact(links)
         if state == before:
             break
         before = state
@@ -294,7 +297,9 @@ def _rest_of_clusters(members: DataFrame, hot: HotKeys, comps: DataFrame, sets:
     clusters = components(edges.select("a", "b"), "clusters")
     nodes = edges.select(F.col("a").alias("node"), "key", F.col("component").alias("linked"), "n_shingles").distinct()
     nodes = cut(nodes.join(clusters, "node").select("node", "key", "linked", "n_shingles", F.col("component").alias("cluster")), "nodes")
-    count = F.greatest(F.ceil(F.sum("n_shingles") / F.lit(block_hashes)), F.ceil(F.count("*") / F.lit(block_rows))).cast("int")
+    # an eighth of the cluster or block_rows, whichever is less, so that a cluster of some hundreds is several tasks too
+    each = F.least(F.lit(float(block_rows)), F.greatest(F.lit(100.0), F.count("*") / 8))
+    count = F.greatest(F.ceil(F.sum("n_shingles") / F.lit(block_hashes)), F.ceil(F.count("*") / each)).cast("int")
     blocks = nodes.groupBy("cluster").agg(count.alias("blocks"))
     placed = hot_keys(nodes, ["cluster"]).join(nodes, blocks, ["key"]).withColumn("block", F.pmod(F.xxhash64("key"), F.col("blocks")).cast("int"))
     # the cell (i, j) holds blocks i and j: every two members meet in one cell at least
@@ -336,10 +341,12 @@ def near_duplicates(
     # equal sets have equal buckets, so any row's will do; exact copies meet map-side
     classes = named.groupBy("key").agg(F.min("doc_id").alias("rep"), F.count("*").alias("n"), F.first("n_shingles").alias("n_shingles"), F.first("buckets").alias("buckets"))
     classes = cut(classes, "classes")
-    entries = classes.select("key", "rep", "n_shingles", F.explode("buckets").alias("bucket"))
+    # entries go by an 8-byte hash of the key: few stand in a bucket with others, and only those get their class back
+    entries = classes.select(F.xxhash64("key").alias("h"), F.explode("buckets").alias("bucket"))
     full = cut(entries.groupBy("bucket").agg(F.count("*").alias("n")).where("n > 1"), "full")
     hot = HotKeys(full, ["bucket"], bands * classes.count())
-    members = cut(hot.join(entries, full, ["key"]), "members")
+    shared = hot.join(entries, full, ["h"])
+    members = cut(shared.join(classes.select(F.xxhash64("key").alias("h"), "key", "rep", "n_shingles"), "h").drop("h"), "members")
     company = members.groupBy("key").agg(F.sum("n").alias("company"))
     ranked = members.select("bucket", "key", "rep", "n_shingles").join(company, "key")
     centre = ranked.groupBy("bucket").agg(F.max(F.struct("company", "key", "rep", "n_shingles")).alias("c"))
