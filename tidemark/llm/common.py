@@ -3,12 +3,13 @@
 from __future__ import annotations
 
 import atexit
-import tempfile
 import uuid
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from tidemark.sources.shared import shared_dir
+
 #: A word everywhere in this package: a run of anything but space, tab, LF, VT, FF and CR.
 #: ``bytes.split()`` cuts at exactly these six bytes, which is what the Python kernels use.
 WORD = r"[^\x20\x09-\x0D]+"
@@ -17,20 +18,6 @@ SPACE = r"[\x20\x09-\x0D]+"
 _written: list[tuple[SparkSession, str]] = []
 
 
-def shared_dir(spark: SparkSession) -> str:
-    """The folder that driver and executors share (``spark.checkpoint.dir``).
-
-    Only a local session without that setting (a test) gets a temporary folder; on a cluster it must be set.
-    """
-    base = spark.conf.get("spark.checkpoint.dir", None)
-    if not base:
-        if not spark.sparkContext.master.startswith("local[") and spark.sparkContext.master != "local":
-            raise ValueError("set spark.checkpoint.dir to a folder that driver and executors share")
-        base = "file://" + tempfile.mkdtemp(prefix="tidemark-")
-        spark.conf.set("spark.checkpoint.dir", base)
-    return base.rstrip("/")
-
-
 def scratch(spark: SparkSession, name: str) -> str:
     """A path under the shared folder that no other call uses; deleted when the driver exits."""
     path = f"{shared_dir(spark)}/tidemark/{uuid.uuid4().hex}/{name}"
@@ -50,16 +37,28 @@ def cut(df: DataFrame, name: str) -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
-def release() -> None:
-    """Delete what :func:`cut` wrote. Call it only once the results have been stored."""
-    while _written:
-        spark, path = _written.pop()
+def release(since: int = 0, keep: str | None = None) -> None:
+    """Delete what :func:`cut` wrote after the first ``since`` tables, but for those under ``keep``. Call it only once the results have been stored."""
+    gone, _written[since:] = [w for w in _written[since:] if w[1] != keep], [w for w in _written[since:] if w[1] == keep]
+    for spark, path in gone:
         try:
             jvm = spark.sparkContext._jvm
             p = jvm.org.apache.hadoop.fs.Path(path).getParent()
             p.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(p, True)
         except Exception:  # the session is gone: its shared folder is then the cluster's to clean
-            _written.clear()
+            return
+
+
+def stored(df: DataFrame, name: str, since: int) -> DataFrame:
+    """:func:`cut`, and let go of all tables cut after the first ``since`` (:func:`written`), which only went into this one."""
+    out = cut(df, name)
+    release(since, _written[-1][1])
+    return out
+
+
+def written() -> int:
+    """How many tables are kept now."""
+    return len(_written)
 
 
 atexit.register(release)
