@@ -59,10 +59,13 @@ ORACLE_SQL = None
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """All stages over ``documents``; each but the last is written to the shared folder and read again."""
-    docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
+    """All stages over ``documents``; each but the last is written to the shared folder and read again.
+
+    What a stage stored on its way, and the table before it, go once its own table is written.
+    """
+    docs, before = spark.read.parquet(f"{sf_dir}/documents.parquet"), common.written()
     for k, (_, stage) in enumerate(STAGES):
         docs = stage(spark, docs, sf_dir)
         if k < len(STAGES) - 1:
-            docs = common.cut(docs, f"stage{k}")
+            docs = common.stored(docs, f"stage{k}", before)
     return docs
