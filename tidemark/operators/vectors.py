@@ -74,9 +74,14 @@ def unflatten(flat: DataFrame, sizes: DataFrame, *keys: str) -> DataFrame:
     spans = sizes.withColumn("end", end).withColumn("start", F.col("end") - F.col("size"))
     at = F.sequence(F.col("start"), F.col("end") - 1)
     places = spans.where("size > 0").select("layer", "start", F.explode(at).alias("flat"))
-    return flat.withColumnRenamed("pos", "flat").join(places, "flat").select(*keys, "layer", (F.col("flat") - F.col("start")).alias("pos"), "x")
+    both = flat.withColumnRenamed("pos", "flat").join(places, "flat", "full_outer")
+    lone = F.col("layer").isNull() | F.col("x").isNull()
+    x = F.when(lone, F.raise_error(F.lit("the vector does not fill the layers")).cast("double")).otherwise(F.col("x"))
+    return both.select(*keys, "layer", (F.col("flat") - F.col("start")).alias("pos"), x.alias("x"))
 
 
-def parameter_counts(params: DataFrame) -> DataFrame:
-    """One row: layers, parameters, from (layer, values)."""
-    return params.agg(F.count("*").alias("layers"), F.sum(F.size("values")).cast("long").alias("parameters"))
+def parameter_counts(params: DataFrame, trainable: str | None = None) -> DataFrame:
+    """One row: layers, parameters, from (layer, values); with a boolean column ``trainable`` those that training moves as well."""
+    n = F.size("values")
+    moved = [F.sum(F.when(F.col(trainable), n).otherwise(0)).cast("long").alias("trainable")] if trainable else []
+    return params.agg(F.count("*").alias("layers"), F.sum(n).cast("long").alias("parameters"), *moved)

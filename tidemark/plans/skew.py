@@ -208,11 +208,11 @@ PAILLIER_SQL = _weights_sql("embeddings", 0.5, 0.1) + f", {_MODELS_SQL} select p
 
 
 def parameter_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
-    e = table(spark, sf_dir, "embeddings").select(F.col("vec_id").alias("layer"), F.col("embedding").alias("values"))
-    return vectors.parameter_counts(e)
+    e = table(spark, sf_dir, "embeddings").select(F.col("vec_id").alias("layer"), F.col("embedding").alias("values"), (F.col("label") < 5).alias("moved"))
+    return vectors.parameter_counts(e, "moved")
 
 
-PARAMETERS_SQL = "select count(*)::bigint as layers, sum(len(embedding))::bigint as parameters from embeddings"
+PARAMETERS_SQL = "select count(*)::bigint as layers, sum(len(embedding))::bigint as parameters, sum(case when label < 5 then len(embedding) else 0 end)::bigint as trainable from embeddings"
 
 def client_skew_declared(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Twelve classes are declared, two of which nobody holds."""
