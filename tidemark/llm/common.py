@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import atexit
 import uuid
+from collections.abc import Iterator
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -115,6 +116,35 @@ def hot_keys(left: DataFrame, keys: list[str], least: int = 1000, most: int = 10
     return HotKeys(left.groupBy(*keys).agg(F.count("*").alias("n")), keys, left.count(), least, most)
 
 
+def tidy() -> None:
+    """Give a worker process's freed memory back to the system: it is reused by many tasks, beside others."""
+    import ctypes
+
+    import pyarrow as pa
+
+    pa.default_memory_pool().release_unused()
+    try:
+        ctypes.CDLL("libc.so.6").malloc_trim(0)
+    except (OSError, AttributeError):  # another C library: it keeps what it keeps
+        pass
+
+
+def slices(batches: Iterator, column: int, most: int = 4_000_000) -> Iterator:
+    """The batches' rows in slices of about ``most`` bytes of a text column (one row at least), so that what a kernel builds beside them is bounded."""
+    import numpy as np
+    import pyarrow.compute as pc
+
+    for b in batches:
+        size = np.cumsum(pc.fill_null(pc.binary_length(b.column(column)), 0).to_numpy(zero_copy_only=False))
+        at = 0
+        while at < b.num_rows:
+            before = size[at - 1] if at else 0
+            end = max(at + 1, int(np.searchsorted(size, before + most, side="right")))
+            yield b.slice(at, end - at)
+            at = end
+    tidy()
+
+
 def n_words(text):
     """Words in a text column; 0 for null."""
     t = F.coalesce(text, F.lit(""))

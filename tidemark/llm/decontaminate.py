@@ -27,7 +27,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import cut
+from .common import cut, slices
 
 #: Thai to Myanmar, kana, Han: scripts without spaces between words.
 _UNSPACED = "\u0e00-\u0eff\u1000-\u109f\u1780-\u17ff\u3040-\u30ff\u3400-\u4dbf\u4e00-\u9fff\uf900-\ufaff\U00020000-\U0003ffff"
@@ -154,7 +154,7 @@ def find_leaks(
 
         def run(batches: Iterator[pa.RecordBatch], items=items, name=name) -> Iterator[pa.RecordBatch]:
             matcher = worker_matcher(name, items, rate)
-            for b in batches:
+            for b in slices(batches, 1):
                 hits = [(i, *m) for i, t in enumerate(b.column(1)) for m in matcher.match(t.as_py())]
                 rows, ids, distances = ([h[k] for h in hits] for k in range(3))
                 yield pa.RecordBatch.from_arrays(
@@ -182,7 +182,7 @@ def drop_leaks(
 
         def run(batches: Iterator[pa.RecordBatch], items=items, name=name) -> Iterator[pa.RecordBatch]:
             matcher = worker_matcher(name, items, rate)
-            for b in batches:
+            for b in slices(batches, at):
                 yield b.filter(pa.array([not matcher.match(t.as_py()) for t in b.column(at)], pa.bool_()))
 
         docs = docs.mapInArrow(run, docs.schema)

@@ -29,7 +29,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import HotKeys, cut, hot_keys, small
+from .common import HotKeys, cut, hot_keys, slices, small
 from .minhash import near_duplicates
 
 _TRIM = " \t\r\x0b\x0c"
@@ -109,7 +109,7 @@ def _cut_lines(docs: DataFrame, text_col: str, max_share: float | None, table=No
         from xxhash import xxh64_intdigest
 
         everywhere = _Sorted(table.value).find if table is not None else None
-        for b in batches:
+        for b in slices(batches, at):
             texts, n_lines, n_cut, whole = [], [], [], []
             own = b.column(b.schema.get_field_index(keys_col)) if everywhere is None else None
             for i, t in enumerate(b.column(at)):

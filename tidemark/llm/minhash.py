@@ -33,7 +33,7 @@ import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import HotKeys, cut, hot_keys, small
+from .common import HotKeys, cut, hot_keys, slices, small, tidy
 
 _M = np.uint64(0x9E3779B97F4A7C15)
 
@@ -53,7 +53,7 @@ class _Hashes(dict):
     def __missing__(self, word: bytes) -> int:
         from xxhash import xxh3_64_intdigest
 
-        if len(self) > 500_000:
+        if len(self) > 150_000:
             self.clear()
         h = self[word] = xxh3_64_intdigest(word)
         return h
@@ -123,7 +123,7 @@ def sign(docs: DataFrame, id_col: str, text_col: str, width: int, bands: int, ro
         from xxhash import xxh3_128_digest
 
         hashes, signer = _Hashes(), Signer(bands, rows)
-        for b in batches:
+        for b in slices(batches, 1):
             n, keys, buckets = [], [], []
             for t in b.column(1):
                 s = shingle_set(t.as_py(), width, hashes)
@@ -145,7 +145,7 @@ def _sets(docs: DataFrame, width: int) -> DataFrame:
         from xxhash import xxh3_128_digest
 
         hashes = _Hashes()
-        for b in batches:
+        for b in slices(batches, 1):
             sets = [shingle_set(t.as_py(), width, hashes).tobytes() for t in b.column(1)]
             yield pa.RecordBatch.from_arrays([pa.array([xxh3_128_digest(x) for x in sets], pa.binary()), pa.array(sets, pa.binary())], names=["key", "set"])
 
@@ -163,7 +163,7 @@ def confirm(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
     """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in batches:
+        for b in slices(batches, 3):
             keep = []
             for x, y in zip(b.column(2), b.column(3), strict=True):
                 x, y = np.frombuffer(x.as_buffer(), np.uint64), np.frombuffer(y.as_buffer(), np.uint64)
@@ -311,6 +311,7 @@ def _rest_of_clusters(members: DataFrame, hot: HotKeys, comps: DataFrame, sets:
         import pandas as pd
 
         found = _spanning(pdf["node"].to_numpy(), pdf["linked"].to_numpy(), [np.frombuffer(s, np.uint64) for s in pdf["set"]], percent)
+        tidy()
         return pd.DataFrame(found, columns=["a", "b"], dtype="int64")
 
     return cells.select("cluster", "i", "j", "node", "linked", "set").groupBy("cluster", "i", "j").applyInPandas(compare, "a long, b long")

@@ -26,7 +26,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import cut
+from .common import cut, slices
 
 _SYMBOLS, _DIGITS, _UPPER = b"#*$%&|<>@^~=_+{}[]\\", b"0123456789", bytes(range(65, 91))
 _ENDS = (b".", b"!", b"?", b'"', b":", b";")
@@ -241,7 +241,7 @@ def _scored(docs: DataFrame, model: dict, text_col: str, extra: str, make) -> Da
     at = docs.columns.index(text_col)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in batches:
+        for b in slices(batches, at):
             scores = [score_texts(block, sent.value) for block in _blocks(t.as_py() for t in b.column(at))]
             yield make(b, np.concatenate(scores or [np.empty(0)]))
 

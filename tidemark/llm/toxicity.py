@@ -32,7 +32,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import cut
+from .common import cut, slices
 from .quality_crf import held_out, learning_rows
 
 #: Letters that a character may stand for (fixed values: common look-alikes of digits, signs, Cyrillic and Greek letters).
@@ -71,7 +71,7 @@ def trigrams(docs: DataFrame, text_col: str = "text") -> np.ndarray:
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         total = np.zeros(_SIZE**3, np.int64)
-        for b in batches:
+        for b in slices(batches, 0):
             for t in b.column(0):
                 text = t.as_py()
                 if text:
@@ -287,7 +287,7 @@ def score_toxicity(docs: DataFrame, model: dict, id_col: str = "doc_id", text_co
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         scorer, bias = worker_scorer(name, sent)
-        for b in batches:
+        for b in slices(batches, 1):
             total = np.array([scorer.total(t.as_py()) for t in b.column(1)]) + bias
             yield pa.RecordBatch.from_arrays([b.column(0), pa.array(1 / (1 + np.exp(-np.clip(total, -30, 30))), pa.float64())], names=["id", "score"])
 
