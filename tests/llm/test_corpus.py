@@ -598,6 +598,7 @@ def test_mix(spark, docs, odd):
         got = mixing.mix_sources(frame, block_rows=7).collect()
         again = mixing.mix_sources(frame.repartition(3), block_rows=7).collect()
         assert sorted(map(repr, got)) == sorted(map(repr, again)) and len(got) == len(rows)
+        assert sorted(map(repr, got)) == sorted(map(repr, mixing.mix_sources(frame, block_rows=7, broadcast_sources=0).collect()))
         taken, most = Counter(), Counter()
         for r in got:
             most[r["source"]] = max(most[r["source"]], r["size"])

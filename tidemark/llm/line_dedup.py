@@ -29,7 +29,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import HotKeys, cut, hot_keys, slices, small
+from .common import HotKeys, cut, hot_keys, slices
 from .minhash import near_duplicates
 
 _TRIM = " \t\r\x0b\x0c"
@@ -64,8 +64,12 @@ def shared_lines(lines: DataFrame, min_sites: int, band: float, lg_k: int, broad
     wide = cut(wide, "wide")
     sure = wide.where(F.col("sites") > min_sites * (1 + band)).select("h1", "h2")
     near = wide.where(F.col("sites") <= min_sites * (1 + band)).select("h1", "h2")
-    # a line near the threshold has few sites: copies of one (line, site) meet map-side
-    exact = lines.where("site is not null").join(small(near, broadcast_keys), ["h1", "h2"], "left_semi").select("h1", "h2", "site").distinct()
+    # a line counts once a site, whatever its rows: copies of one (line, site) meet map-side, before any join by shuffle
+    exact = lines.where("site is not null").select("h1", "h2", "site")
+    if near.limit(broadcast_keys + 1).count() <= broadcast_keys:
+        exact = exact.join(F.broadcast(near), ["h1", "h2"], "left_semi").distinct()
+    else:
+        exact = exact.distinct().join(near, ["h1", "h2"], "left_semi")
     exact = exact.groupBy("h1", "h2").agg(F.count("*").alias("n")).where(F.col("n") >= min_sites).select("h1", "h2")
     return cut(sure.union(exact), "shared")
 

@@ -27,7 +27,7 @@ import numpy as np
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import cut, n_words, small
+from .common import cut, hot_keys, n_words
 
 _TINY = 1e-9
 
@@ -113,9 +113,19 @@ def land(prob: np.ndarray, size: np.ndarray, before: np.ndarray, exchanges: int
     return out
 
 
+def _of_source(rows: DataFrame, per: DataFrame, broadcast_sources: int) -> DataFrame:
+    """``rows`` with what ``per`` (cut; one row a source) says of their source: broadcast if few, else a large source's rows are dealt over tasks."""
+    key = F.concat(F.when(F.col("source").isNull(), "n").otherwise("s"), F.coalesce("source", F.lit(""))).alias("_key")
+    per = per.select(key, *[c for c in per.columns if c != "source"])
+    rows = rows.select(key, *rows.columns)
+    if per.limit(broadcast_sources + 1).count() <= broadcast_sources:
+        return rows.join(F.broadcast(per), "_key").drop("_key")
+    return hot_keys(rows, ["_key"]).join(rows, per, ["id", "size"]).drop("_key")
+
+
 def mix_sources(
     docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", source_col: str = "source", weights: tuple[float, ...] = (5, 2, 1),
-    share: float = 1.5, cap: float = 2.0, block_rows: int = 5000,
+    share: float = 1.5, cap: float = 2.0, block_rows: int = 5000, broadcast_sources: int = 100_000,
 ) -> DataFrame:
     """id, source, size, source_size, target, copies, taken: one row for each row of ``docs``.
 
@@ -126,8 +136,7 @@ def mix_sources(
     sized = docs.select(F.col(id_col).alias("id"), F.col(source_col).cast("string").alias("source"), n_words(F.col(text_col)).cast("long").alias("size"))
     sized = cut(sized, "sized")
     targets = cut(source_targets(sized, weights, share, cap), "targets")
-    per = small(targets.withColumnRenamed("source", "_source"), 100_000)
-    rows = sized.join(per, sized["source"].eqNullSafe(F.col("_source")), "left").drop("_source")
+    rows = _of_source(sized, targets, broadcast_sources)
     # equal rows get numbers 0, 1, ... by their count, a thousand to a row first, so that no task holds them all
     equal = [c for c in rows.columns]
     rows = rows.groupBy(*equal).agg(F.count("*").alias("_n"))
@@ -162,7 +171,7 @@ def mix_sources(
         rest = flown.where("prob > 0 and prob < 1")
         if rest.isEmpty():
             break
-        rows = rest.drop("rows").join(small(rest.groupBy(F.col("source").alias("_source")).agg(F.count("*").alias("rows")), 100_000), F.col("source").eqNullSafe(F.col("_source")))
+        rows = _of_source(rest.drop("rows"), cut(rest.groupBy("source").agg(F.count("*").alias("rows")), "left"), broadcast_sources)
         rows = rows.select(*flown.columns)
         level += 1
     copies = F.col("sure") + F.col("prob").cast("long")
