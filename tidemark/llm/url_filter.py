@@ -6,7 +6,7 @@ from the visible text of all pages, from hyphenated host parts and from the seed
 Multinomial naive Bayes over the words of host and path then decides.  Its training labels are distant: a URL with a
 seed word among its words counts as blocked, all others as allowed.
 
-Scale: only distinct runs are segmented; a run's candidate words reach it by an equi-join of its substrings with the
+Scale: hosts and paths count by their letters alone, so paths that differ in numbers are one; only distinct runs are segmented; a run's candidate words reach it by an equi-join of its substrings with the
 word counts, so the vocabulary is broadcast only while it is small (``broadcast_rows`` words of ``longest`` letters).  Hosts, paths
 and runs go through joins as 128-bit handles, so what a checked broadcast sends is bounded in bytes, and beyond the check
 hot keys are dealt over tasks.  The Bayes table has ``buckets`` rows at most (words are hashed), a proven bound.
@@ -161,10 +161,15 @@ def segment(runs: DataFrame, counts: DataFrame, longest: int, broadcast_rows: in
     return joined.mapInArrow(split, "r1 long, r2 long, words array<string>")
 
 
-def tokens_of(parsed: DataFrame) -> DataFrame:
-    """t1, t2 (handle of the text), run, hyphened of every distinct host and path: its runs of letters, long ones as they are."""
-    texts = parsed.select(F.col("host").alias("text")).union(parsed.select(F.lower("path").alias("text"))).where("text <> ''").distinct()
-    pieces = texts.select(*_handle(F.col("text"), "t"), F.explode(F.split("text", "[^a-z-]+")).alias("piece"))
+def skeleton(col) -> Column:
+    """What words can come from: runs of letters and hyphens, one space between. Paths that differ in numbers alone are one text."""
+    return F.btrim(F.regexp_replace(col, "[^a-z-]+", " "))
+
+
+def tokens_of(urls: DataFrame) -> DataFrame:
+    """t1, t2 (handle of the text), run, hyphened of every distinct skeleton of a host or path: its runs of letters, long ones as they are."""
+    texts = urls.select(F.col("hs").alias("text")).union(urls.select("ps")).where("text <> ''").distinct()
+    pieces = texts.select(*_handle(F.col("text"), "t"), F.explode(F.split("text", " ")).alias("piece"))
     return pieces.select("t1", "t2", F.col("piece").contains("-").alias("hyphened"), F.explode(F.split("piece", "-")).alias("run")).where("run <> ''")
 
 
@@ -181,7 +186,8 @@ def url_verdicts(
 ) -> DataFrame:
     """id, host, path, rule, verdict, block_odds: one row for each row of ``pages``."""
     rules = RULES if rules is None else rules
-    parsed = cut(parse(pages, id_col, url_col, rules), "parsed")
+    parsed = parse(pages, id_col, url_col, rules).withColumns({"hs": skeleton(F.col("host")), "ps": skeleton(F.lower("path"))})
+    parsed = cut(parsed, "parsed")
     tokens = tokens_of(parsed).select("t1", "t2", "hyphened", "run", *_handle(F.col("run"), "r"))
     tokens = cut(tokens, "tokens")
     runs = cut(tokens.groupBy("r1", "r2", "run").agg(F.max("hyphened").alias("hyphened"), F.count("*").alias("n")), "runs")
@@ -193,7 +199,7 @@ def url_verdicts(
     words = cut(words.select("t1", "t2", bucket.alias("bucket"), F.col("word").isin(*SEEDS).alias("seed")), "text_words")
     # a text's rows: how often it is a host or a path of a blocked or an allowed URL
     seeded = cut(words.where("seed").select("t1", "t2").distinct().withColumn("seeded", F.lit(True)), "seeded")
-    urls = parsed.select("id", "host", "path", "rule", *_handle(F.col("host"), "h"), *_handle(F.lower("path"), "p"))
+    urls = parsed.select("id", "host", "path", "rule", *_handle(F.col("hs"), "h"), *_handle(F.col("ps"), "p"))
     marked = lookup(urls, seeded.toDF("h1", "h2", "s1"), ["h1", "h2"], ["id", "p1"], broadcast_rows)
     marked = cut(lookup(marked, seeded.toDF("p1", "p2", "s2"), ["p1", "p2"], ["id", "h1"], broadcast_rows), "marked")
     marked = marked.withColumn("blocked", F.coalesce("s1", "s2", F.lit(False)))
