@@ -454,6 +454,9 @@ def test_checkpoint_and_results(spark, tmp_path):
 
 def test_small_functions(spark):
     assert scalar.derive_seed(42, "subsample", "00001") == scalar.derive_seed(42, "subsample", "00001") < 2**32
+    rows = spark.createDataFrame([(42, "subsample"), (7, "é"), (1, None)], "a long, b string")
+    for r in rows.withColumn("s", scalar.derived_seed(F.col("a"), F.col("b"), F.lit("x"))).collect():
+        assert r["s"] == scalar.derive_seed(r["a"], r["b"], "x")
     with pytest.raises(PySparkException):
         spark.range(1).select(scalar.payload_guard(F.lit("delta"), "weights")).collect()
     flat = spark.createDataFrame([(0, [1.0, 2.0]), (1, [3.0])], "layer int, v array<double>")

@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import hashlib
 
+import pandas as pd
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
@@ -68,6 +69,16 @@ def derive_seed(*parts: object) -> int:
     return int.from_bytes(digest, "big") % (2**32 - 1)
 
 
+def derived_seed(*parts: Column) -> Column:
+    """:func:`derive_seed` of the rows' parts (texts and whole numbers), in Arrow batches: the engine has no blake2b of its own."""
+
+    @F.pandas_udf("long")
+    def run(text: pd.Series) -> pd.Series:
+        return text.map(lambda t: int.from_bytes(hashlib.blake2b(t.encode(), digest_size=8).digest(), "big") % (2**32 - 1))
+
+    return run(F.concat(*[F.concat(F.coalesce(p.cast("string"), F.lit("None")), F.lit("\0")) for p in parts]))
+
+
 def effective_algorithm(algorithm: Column, round_number: Column, warmup: Column) -> Column:
     """Preconditioned aggregation runs as plain averaging until its warm-up is over; unknown names raise."""
     known = F.when(warmup < 0, F.raise_error(F.lit("negative warm-up"))).when(~algorithm.isin(*ALGORITHMS), F.raise_error(F.concat(F.lit("unknown rule "), algorithm)))
