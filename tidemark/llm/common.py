@@ -19,8 +19,18 @@ SPACE = r"[\x20\x09-\x0D]+"
 _written: list[tuple[SparkSession, str]] = []
 
 
+def small_batches(spark: SparkSession, rows: int = 1000) -> None:
+    """Let Arrow batches hold ``rows`` rows, unless the session has a setting of its own: texts are large, and ten thousand of them are
+    tens of megabytes outside the heap in every task, several times over while a batch grows.
+    """
+    key = "spark.sql.execution.arrow.maxRecordsPerBatch"
+    if spark.conf.get(key) == "10000":
+        spark.conf.set(key, str(rows))
+
+
 def scratch(spark: SparkSession, name: str) -> str:
     """A path under the shared folder that no other call uses; deleted when the driver exits."""
+    small_batches(spark)
     path = f"{shared_dir(spark)}/tidemark/{uuid.uuid4().hex}/{name}"
     _written.append((spark, path))
     return path

@@ -27,7 +27,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import cut, slices
+from .common import cut, slices, small_batches
 
 #: Thai to Myanmar, kana, Han: scripts without spaces between words.
 _UNSPACED = "\u0e00-\u0eff\u1000-\u109f\u1780-\u17ff\u3040-\u30ff\u3400-\u4dbf\u4e00-\u9fff\uf900-\ufaff\U00020000-\U0003ffff"
@@ -147,6 +147,7 @@ def find_leaks(
 ) -> DataFrame:
     """id, item_id, distance (in words): one row for each document row and item that it holds."""
     spark, out = docs.sparkSession, None
+    small_batches(spark)
     kind = docs.schema[id_col].dataType.simpleString()
     schema = f"id {kind}, item_id long, distance long"
     for block, last in _blocks(benchmark, item_col, item_text, block_chars):
@@ -176,6 +177,7 @@ def drop_leaks(
 ) -> DataFrame:
     """``docs`` without the rows that hold an item, by maps alone; columns as given."""
     spark = docs.sparkSession
+    small_batches(spark)
     at = docs.columns.index(text_col)
     for block, last in _blocks(benchmark, item_col, item_text, block_chars):
         items, name = spark.sparkContext.broadcast(block), uuid.uuid4().hex

@@ -26,7 +26,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import cut, slices
+from .common import cut, slices, small_batches
 
 _SYMBOLS, _DIGITS, _UPPER = b"#*$%&|<>@^~=_+{}[]\\", b"0123456789", bytes(range(65, 91))
 _ENDS = (b".", b"!", b"?", b'"', b":", b";")
@@ -237,6 +237,7 @@ def _blocks(texts: Iterator[str | None], most: int = 2_000_000, rows: int = 500)
 
 
 def _scored(docs: DataFrame, model: dict, text_col: str, extra: str, make) -> DataFrame:
+    small_batches(docs.sparkSession)
     sent = docs.sparkSession.sparkContext.broadcast(model)
     at = docs.columns.index(text_col)
 

@@ -32,7 +32,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import cut, slices
+from .common import cut, slices, small_batches
 from .quality_crf import held_out, learning_rows
 
 #: Letters that a character may stand for (fixed values: common look-alikes of digits, signs, Cyrillic and Greek letters).
@@ -282,6 +282,7 @@ def train(
 
 def score_toxicity(docs: DataFrame, model: dict, id_col: str = "doc_id", text_col: str = "text", threshold: float = 0.5) -> DataFrame:
     """id, held_out, score, predicted: one row for each row of ``docs``."""
+    small_batches(docs.sparkSession)
     sent, name = docs.sparkSession.sparkContext.broadcast(model), uuid.uuid4().hex
     kind = docs.schema[id_col].dataType.simpleString()
 
