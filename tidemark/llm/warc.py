@@ -29,7 +29,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import HotKeys, cut, scratch, small
+from .common import HotKeys, cut, scratch
 
 
 def _spans(data: bytes, most: int) -> Iterator[bytes]:
