@@ -147,12 +147,13 @@ DESCALE_SQL = "select vec_id, 'weights' as kind, round(sum(case when vec_id % 3
 
 
 def late_updates_dropped(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """The open round of an update is one for every 334 events: updates of other days are late."""
-    u = updates(spark, sf_dir).withColumn("current_round", (F.floor(F.col("event_id") * 30 / (F.lit(1) + F.col("event_id") + 7)) + 1).cast("int"))
+    """Days as rounds; a report takes 0, 6, 12, 18 or 24 hours to arrive, and one that arrives on another day finds its round closed."""
+    arrival = F.col("ts") + F.expr("make_dt_interval(0, cast(event_id % 5 * 6 as int))")
+    u = updates(spark, sf_dir).withColumn("current_round", F.dayofmonth(arrival))
     return rounds.drop_late(u).groupBy("round").agg(F.count("*").alias("kept"), F.sum("train_size").alias("train_size"))
 
 
-LATE_SQL = f"with {_U} select round, count(*)::bigint as kept, sum(train_size)::bigint as train_size from u where round = floor(event_id * 30e0 / (1 + event_id + 7)) + 1 group by 1"
+LATE_SQL = f"with {_U} select round, count(*)::bigint as kept, sum(train_size)::bigint as train_size from u where extract(day from ts + to_hours(event_id % 5 * 6)) = round group by 1"
 
 
 def latest_session(spark: SparkSession, sf_dir: str) -> DataFrame:
