@@ -675,11 +675,16 @@ def test_classifiers_on_odd_input(spark, odd, labels):
     assert quality_crf.keep_good(odd, quality_crf.train(odd, labels)).columns == odd.columns
 
 
+def model_of_any(text):
+    return model_of(text.lower().encode("latin-1", "replace").decode("latin-1"))
+
+
 def model_of(text):
     codes = toxicity.CODES[np.frombuffer(f"  {text} ".encode("latin-1"), np.uint8)]
     counts = np.zeros(64**3)
     before = np.where(codes[1:-1] == 0, 0, codes[:-2])
-    np.add.at(counts, (before * 64 + codes[1:-1]) * 64 + codes[2:], 1)
+    inside = (codes[1:-1] > 0) | (codes[2:] > 0)
+    np.add.at(counts, ((before * 64 + codes[1:-1]) * 64 + codes[2:])[inside], 1)
     return counts
 
 
@@ -704,6 +709,23 @@ def test_long_spellings_are_decoded():
     assert scorer.total("what a l" + "o" * 200 + "ser") == 2.0 and scorer.total("L0ser, loser! loser") == pytest.approx(2 * (1 + math.log(3)))
 
 
+def test_scores_equal_a_plain_count(spark, docs):
+    """Trigrams counted text by text, and totals over all restored words."""
+    texts = [r[0] for r in docs.select("text").collect()]
+    want = np.zeros(64**3)
+    for t in texts:
+        if t:
+            want += model_of_any(t)
+    got = toxicity.trigrams(docs.repartition(3))
+    assert (got == want).all()
+    decoder, weights = toxicity.Decoder(got), {"=the": 0.5, "stup": 0.3, "=un": -0.2, "comp": 0.1, "compa": 0.4}
+    scorer = toxicity.Scorer(decoder, weights, limit=50)
+    for t in texts[:60] + [None, "", "STUP1D stupid, the thé The!! l o s e r"]:
+        plain = toxicity.restored(t, decoder.words, lambda x: decoder.decode(x).split())
+        total = sum(toxicity.weight(n) * sum(weights.get(f, 0.0) for f in toxicity.features(w)) for w, n in plain.items())
+        assert scorer.total(t) == pytest.approx(total)
+
+
 def test_viterbi_equals_enumeration():
     from itertools import product
 

@@ -50,6 +50,7 @@ _letters = re.compile(r"[^\W\d_]+").findall
 _spelled = re.compile(r"(?<![^\W_])[^\W_](?:[ .\-_*,/]+(?:[^\W_]|[@$!|+])(?![^\W_])){3,}")
 _tripled = re.compile(r"([^\W\d_])\1\1").search
 _latin = re.compile(r"[a-z]").search
+_lookalike = re.compile("[" + re.escape("".join(LOOKALIKES)) + "]").search
 _SIZE = 64
 
 
@@ -72,13 +73,12 @@ def trigrams(docs: DataFrame, text_col: str = "text") -> np.ndarray:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         total = np.zeros(_SIZE**3, np.int64)
         for b in slices(batches, 0):
-            for t in b.column(0):
-                text = t.as_py()
-                if text:
-                    c = CODES[np.frombuffer(f"  {text.lower()} ".encode("latin-1", "replace"), np.uint8)]
-                    before = np.where(c[1:-1] == 0, 0, c[:-2])
-                    cell = (before * _SIZE + c[1:-1]) * _SIZE + c[2:]
-                    total += np.bincount(cell[(c[1:-1] > 0) | (c[2:] > 0)], minlength=_SIZE**3)
+            # two spaces between texts: no word reaches into the next, and a slice is counted at once
+            text = "   ".join(t for t in b.column(0).to_pylist() if t)
+            c = CODES[np.frombuffer(f"  {text.lower()} ".encode("latin-1", "replace"), np.uint8)]
+            before = np.where(c[1:-1] == 0, 0, c[:-2])
+            cell = (before * _SIZE + c[1:-1]) * _SIZE + c[2:]
+            total += np.bincount(cell[(c[1:-1] > 0) | (c[2:] > 0)], minlength=_SIZE**3)
         at = np.flatnonzero(total)
         yield pa.RecordBatch.from_arrays([pa.array(at, pa.int64()), pa.array(total[at], pa.int64())], names=["cell", "n"])
 
@@ -145,8 +145,9 @@ class Decoder:
         if not token.isascii():
             token = unicodedata.normalize("NFKC", token.translate(_INVISIBLE)).lower()
         core = token.rstrip(".,;:?!\"'()[]{}<>#*%&$|~^=/").lstrip(".,;:?\"'()[]{}<>#*%&~^=/")
-        noisy = any(c in LOOKALIKES for c in core) and _latin(core)
-        if core.isalpha() and not noisy:
+        plain = core.isalpha()
+        noisy = not (plain and core.isascii()) and _lookalike(core) and _latin(core)
+        if plain and not noisy:
             return self.decode(core).split() if _tripled(core) else [core]
         if noisy:
             return _letters(self.decode(core))
@@ -176,31 +177,48 @@ def restored(text: str | None, words, decode) -> Counter:
 
 
 class Scorer:
-    """A text's sum of weights; each token is worked out once and remembered up to a limit."""
+    """A text's sum of weights; each token is worked out once and remembered, in two generations of up to ``limit`` tokens."""
 
     def __init__(self, decoder: Decoder, weights: dict[str, float], limit: int = 200_000):
-        self.decoder, self.weights, self.limit, self.known = decoder, weights, limit, {}
+        self.decoder, self.weights, self.limit = decoder, weights, limit
+        self.young: dict[str, tuple[str, ...]] = {}
+        self.old: dict[str, tuple[str, ...]] = {}
+        self.whole = {f[1:] for f in weights if f[0] == "="}
+        self.starts = {f[:4] for f in weights if f[0] != "="}
 
     def value(self, word: str) -> float:
+        if word not in self.whole and word[:4] not in self.starts:
+            return 0.0
         get = self.weights.get
         return sum(get(f, 0.0) for f in features(word))
 
-    def words(self, token: str) -> list[str]:
+    def words(self, token: str) -> tuple[str, ...]:
         """The token's restored words that weigh something."""
-        found = self.known.get(token)
+        found = self.young.get(token)
         if found is None:
-            found = [w for w in self.decoder.words(token) if self.value(w)]
+            found = self.old.get(token)
+            if found is None:
+                found = tuple(w for w in self.decoder.words(token) if self.value(w))
             if len(token) <= 64:
-                if len(self.known) >= self.limit:
-                    self.known.clear()
-                self.known[token] = found
+                if len(self.young) >= self.limit:
+                    self.young, self.old = {}, self.young
+                self.young[token] = found
         return found
 
-    def decode(self, letters: str) -> list[str]:
-        return [w for w in self.decoder.decode(letters).split() if self.value(w)]
-
     def total(self, text: str | None) -> float:
-        return sum(weight(n) * self.value(w) for w, n in sorted(restored(text, self.words, self.decode).items()))
+        """The sum over restored words that weigh something: as :func:`restored` counts them, the others left out."""
+        if not text:
+            return 0.0
+        text, counts = text.lower(), Counter()
+        tokens = text.split()
+        heavy = {t for t in set(tokens) if self.words(t)}
+        if heavy:
+            for t, n in Counter(t for t in tokens if t in heavy).items():
+                for w in self.words(t):
+                    counts[w] += n
+        for m in _spelled.finditer(text):
+            counts.update(w for w in self.decoder.decode(m[0]).split() if self.value(w))
+        return sum(weight(n) * self.value(w) for w, n in sorted(counts.items()))
 
 
 #: The scorer that a worker process holds: its model's name, and the scorer.
