@@ -135,15 +135,25 @@ def write_warc(
     out.write.option("compression", "none").option("lineSep", "\0").option("maxRecordsPerFile", per_file).text(path)
 
 
+def _plain(data: bytes, step: int = 16_384) -> Iterator[bytes]:
+    """The contents of a file of gzip members, fed a step at a time: what is left over behind a member is never more than a step."""
+    view, at = memoryview(data), 0
+    while at < len(view):
+        unpacker = zlib.decompressobj(31)
+        while not unpacker.eof:
+            if at >= len(view):
+                raise ValueError("the last member is cut short")
+            fed = view[at : at + step]
+            yield unpacker.decompress(fed)
+            at += len(fed) - len(unpacker.unused_data)
+        while at < len(view) and not view[at]:  # padding
+            at += 1
+
+
 def parse_warc(data: bytes) -> Iterator[tuple[dict[str, str], bytes]]:
     """Headers (names in lower case) and block of each record of one file, plain or of gzip members."""
     if data[:2] == b"\x1f\x8b":
-        parts = []
-        while data:
-            member = zlib.decompressobj(31)
-            parts += [member.decompress(data), member.flush()]
-            data = member.unused_data.lstrip(b"\0")
-        data = b"".join(parts)
+        data = b"".join(_plain(data))
     at = 0
     while at < len(data):
         end = data.index(b"\r\n\r\n", at)
