@@ -462,3 +462,14 @@ def test_small_functions(spark):
     flat = spark.createDataFrame([(0, [1.0, 2.0]), (1, [3.0])], "layer int, v array<double>")
     long = vectors.long_form(flat, "v", "layer").join(flat.select("layer", F.size("v").alias("size")), "layer")
     assert [r["x"] for r in vectors.flatten_layers(long).orderBy("pos").collect()] == [1.0, 2.0, 3.0]
+
+
+def test_lagged_router_rounds_like_its_threshold(spark, tmp_path):
+    from tidemark.streaming import streams
+
+    rows = spark.createDataFrame([("x", k, [1 / 3], [1.0]) for k in range(2)], "arm string, seq long, mean array<double>, var array<double>")
+    rows.write.parquet(str(tmp_path / "in"))
+    feed = spark.readStream.schema(rows.schema).parquet(str(tmp_path / "in"))
+    bank = [("a", [0.0], [1.0]), ("b", [1e-7], [1.0])]  # both at 0.111111, b nearer by less than the last digit
+    got = streams.drain(streams.lagged_router(feed, bank, 0.111111, digits=6), "rounded").orderBy("seq").collect()
+    assert [(r["chosen"], r["distance"], r["fallback"]) for r in got] == [(None, None, False), ("a", 0.111111, False)]

@@ -111,7 +111,7 @@ def stream_lag_router(spark: SparkSession, sf_dir: str) -> DataFrame:
     packed = packed.select(F.lit("routed").alias("arm"), "seq", F.transform("s", lambda x: x["mean"]).alias("mean"), F.transform("s", lambda x: x["var"]).alias("var"))
     path = _folder(spark, packed)
     src = spark.readStream.schema(packed.schema).parquet(path)
-    out = _drained(streams.lagged_router(src, fixed, float(_threshold(spark, sf_dir).first()[0])))
+    out = _drained(streams.lagged_router(src, fixed, float(_threshold(spark, sf_dir).first()[0]), digits=6))
     return out.select("seq", "chosen", "fallback", "state_loaded")
 
 

@@ -105,9 +105,10 @@ def nearest_state(batches: DataFrame, bank: DataFrame) -> DataFrame:
     return batches.crossJoin(F.broadcast(bank)).withColumn("distance", d)
 
 
-def lagged_router(batches: DataFrame, bank: list[tuple[str, list[float], list[float]]], threshold: float) -> DataFrame:
+def lagged_router(batches: DataFrame, bank: list[tuple[str, list[float], list[float]]], threshold: float, digits: int | None = None) -> DataFrame:
     """arm, seq, chosen, distance, fallback, state_loaded: each batch is routed by the descriptor of the one before it.
 
+    ``digits``: distances are rounded before they are compared, as those that the threshold was taken from; ties go to the first entry.
     State per arm: the previous descriptor and what is loaded.  A batch is (arm, seq, mean array, var array); within a trigger
     rows are put in order of seq.  Null chosen and no fallback: the arm's first batch.
     """
@@ -122,6 +123,7 @@ def lagged_router(batches: DataFrame, bank: list[tuple[str, list[float], list[fl
             if mean is not None:
                 m, v = np.array(mean), np.maximum(np.array(var), 1e-8)
                 d = ((v + (m - means) ** 2) / (2 * variances) + (variances + (m - means) ** 2) / (2 * v) - 1).sum(1)
+                d = d if digits is None else np.round(d, digits)
                 k = int(np.argmin(d))
                 distance, fallback = float(d[k]), bool(d[k] > threshold)
                 chosen = None if fallback else labels[k]
