@@ -473,3 +473,21 @@ def test_lagged_router_rounds_like_its_threshold(spark, tmp_path):
     bank = [("a", [0.0], [1.0]), ("b", [1e-7], [1.0])]  # both at 0.111111, b nearer by less than the last digit
     got = streams.drain(streams.lagged_router(feed, bank, 0.111111, digits=6), "rounded").orderBy("seq").collect()
     assert [(r["chosen"], r["distance"], r["fallback"]) for r in got] == [(None, None, False), ("a", 0.111111, False)]
+
+
+def test_corruptions_of_long_and_odd_vectors(spark):
+    import time
+
+    from tidemark.operators import corruptions
+
+    n, schema = 20_000, "id long, v array<double>"
+    v = [float(k % 97) for k in range(n)]
+    began = time.time()  # work in proportion to the length, not to its square
+    x = one(corruptions.corrupt(spark.createDataFrame([(10**17, v)], schema), "v", partition.conditions(spark, ["defocus_blur"], [5]), "id"))["x"]
+    assert time.time() - began < 30
+    assert x == pytest.approx([sum(v[max(0, min(n - 1, k + d))] for d in range(-5, 6)) / 11 for k in range(n)])
+    odd = spark.createDataFrame([(1, [1.0, None, 3.0]), (None, [1.0, 2.0]), (3, []), (4, None)], schema)
+    plan = partition.conditions(spark, ["brightness", "gaussian_noise", "saturate", "gaussian_blur"], [1])
+    got = {(r["id"], r["corruption"]): r["x"] for r in corruptions.corrupt(odd, "v", plan, "id").collect()}
+    assert len(got) == 16 and got[1, "brightness"] == [1.1, None, 3.1] and got[1, "saturate"] == [1.0, 1.0, 1.0] and got[1, "gaussian_blur"] == [None] * 3
+    assert got[None, "gaussian_noise"] == [None, None] and got[None, "brightness"] == [1.1, 2.1] and got[3, "brightness"] == [] and got[4, "brightness"] is None
