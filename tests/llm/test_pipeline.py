@@ -7,6 +7,7 @@ from collections import Counter, defaultdict
 import corpus_pipeline
 import numpy as np
 from conftest import SF
+from pyspark.sql import functions as F
 from test_corpus import brute_components, distance
 
 from tidemark.llm import common, decontaminate, minhash, quality_crf
@@ -118,3 +119,18 @@ def test_a_stage_lets_go_of_its_scratch(spark):
     one = common.cut(spark.range(5), "x")
     two = common.stored(one.where("id > 1"), "y", before)
     assert common.written() == before + 1 and two.count() == 3
+
+
+def test_cut_leaves_no_shuffle_files(spark):
+    import time
+
+    def files():
+        found = spark._jvm.org.apache.spark.SparkEnv.get().blockManager().diskBlockManager().getAllFiles().mkString("\n").split("\n")
+        return {f for f in found if "/shuffle_" in f}
+
+    before = files()
+    common.cut(spark.range(0, 10_000, 1, 4).groupBy((F.col("id") % 100).alias("k")).count(), "counts")
+    until = time.time() + 10
+    while files() - before and time.time() < until:
+        time.sleep(0.2)
+    assert not files() - before
