@@ -134,3 +134,12 @@ def test_cut_leaves_no_shuffle_files(spark):
     while files() - before and time.time() < until:
         time.sleep(0.2)
     assert not files() - before
+
+
+def test_cut_writes_no_checksum_files(spark):
+    from pathlib import Path
+
+    table = common.cut(spark.range(0, 1000, 1, 4), "plain")
+    folder = Path(common._written[-1][1].removeprefix("file://"))
+    assert table.count() == 1000 and len(list(folder.glob("part-*"))) == 4
+    assert not list(folder.glob(".*.crc"))
