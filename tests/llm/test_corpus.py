@@ -509,6 +509,16 @@ def test_components_of_a_path(spark):
     assert got == {k: 0 for k in range(41)} | {100: 100, 101: 100}
 
 
+def test_few_links_take_no_rounds(spark):
+    draw = random.Random(5)
+    rows = [(draw.randrange(900), draw.randrange(900)) for _ in range(700)] * 2 + [(k, k + 1) for k in range(2000, 2200)] + [(2**62, -(2**62))]
+    links, stage = spark.createDataFrame(rows, "a long, b long"), spark.sparkContext._jsc.sc().dagScheduler().nextStageId
+    before = stage()
+    got = dict(map(tuple, minhash.components(links).collect()))
+    assert stage() - before < 8 and got[2200] == 2000 and got[2**62] == -(2**62)
+    assert dict(map(tuple, minhash.components(links, few=10).collect())) == got
+
+
 def test_densified_signatures_estimate_similarity():
     draw, signer, rng = random.Random(2), minhash.Signer(32, 6), np.random.default_rng(1)
     for n in (3, 40, 2000):

@@ -17,7 +17,7 @@ With 32 bands of 6, a pair at similarity 0.85 shares no bucket with probability
 bins that densification filled are not, so short texts lose a little more: README has the measured recall by length.
 
 Hot buckets, centres and classes are dealt over tasks (``common.HotKeys``).  Nothing is collected to the driver but
-counts.  Null or empty texts have an empty set, are linked with nothing and stand alone.  Repeated rows are copies of
+counts, and links while they are few (``components``).  Null or empty texts have an empty set, are linked with nothing and stand alone.  Repeated rows are copies of
 each other.  A null id gets its group's id but never names a group, and is kept by none.  The same id on different texts
 is one document: it links the groups of all its texts.  Very long texts are one set of 8 bytes a shingle in one
 task, never more.  Ties (equal sizes, equal company) are settled by the digest.  Other columns are ignored.
@@ -175,14 +175,40 @@ def confirm(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
     return two.select("a", "b", "set_a", "set_b").mapInArrow(run, "a long, b long")
 
 
-def components(links: DataFrame, name: str = "components") -> DataFrame:
-    """node, component (its smallest reachable node) of every node of the links (a, b).
+def _joined(a: list[int], b: list[int]) -> dict[int, int]:
+    """Each node of the links (a, b), and its smallest reachable node."""
+    parent: dict[int, int] = {}
 
-    Large-star and small-star rounds: each is two aggregations with map-side minima, and a node with very many
+    def root(x: int) -> int:
+        while (up := parent.setdefault(x, x)) != x:
+            parent[x] = x = parent[up]
+        return x
+
+    for x, y in zip(a, b, strict=True):
+        p, q = root(x), root(y)
+        if p != q:
+            parent[max(p, q)] = min(p, q)
+    return {x: root(x) for x in list(parent)}
+
+
+def components(links: DataFrame, name: str = "components", few: int = 100_000) -> DataFrame:
+    """node, component (its smallest reachable node) of every node of the links (a, b), a table that was cut.
+
+    Up to ``few`` links (16 bytes each) are joined on the driver: rounds over so little are nothing but tasks.  More are
+    joined by large-star and small-star rounds: each is two aggregations with map-side minima, and a node with very many
     neighbours is dealt over tasks where its minimum goes back to them; links that stay the same end the loop.
     """
     fact = lambda df: tuple(df.agg(F.count("*"), F.sum(F.xxhash64("a", "b").cast("decimal(38,0)"))).collect()[0])
-    links = cut(links.where("a <> b").select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).distinct(), name)
+    links = links.where("a <> b").select(F.greatest("a", "b").cast("long").alias("a"), F.least("a", "b").cast("long").alias("b"))
+    n = links.count()
+    if n > few:
+        links = cut(links.distinct(), name)
+        n = links.count()
+    if n <= few:
+        held = links.toArrow()
+        found = _joined(held["a"].to_pylist(), held["b"].to_pylist())
+        made = pa.table({"node": pa.array(found.keys(), pa.int64()), "component": pa.array(found.values(), pa.int64())})
+        return links.sparkSession.createDataFrame(made, "node long, component long")
     before = fact(links)
     while True:
         both = links.union(links.select(F.col("b").alias("a"), F.col("a").alias("b")))
